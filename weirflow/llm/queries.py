@@ -27,17 +27,29 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_blocks import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op8_prefix_bpe, op10_line_blocks)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op5_ftrl_language, op8_prefix_bpe, op9_fourier_quality, op10_line_blocks)}
 ORACLE: dict[str, str] = {}

@@ -197,3 +197,23 @@ def cut(df, eager: bool = True):
             top = os.path.join(tempfile.gettempdir(), "weirflow-checkpoints")
         spark.sparkContext.setCheckpointDir(top)
     return df.checkpoint(eager)
+
+
+def sum_vectors(parts, spread: int = 32):
+    """Sums of rows (k int, v binary: float64 values) by k, in two rounds so that no task reads a row of every other one.
+
+    What comes out is as large as one task's own vectors.  Returns a dict of numpy arrays.
+    """
+    from pyspark.sql import functions as F
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column("k").to_pylist(), b.column("v"), strict=True):
+                x = np.frombuffer(v.as_buffer(), dtype=np.float64)
+                total[k] = total[k] + x if k in total else x.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["k", "v"])
+
+    first = parts.withColumn("_s", F.spark_partition_id() % spread).repartition(F.col("k"), F.col("_s")).select("k", "v").mapInArrow(add, "k int, v binary")
+    rows = first.repartition(F.col("k")).mapInArrow(add, "k int, v binary").collect()
+    return {r["k"]: np.frombuffer(bytes(r["v"]), dtype=np.float64) for r in rows}
