@@ -121,6 +121,12 @@ class Words:
             i = j
         return mix(out, salt + 1)
 
+    def texts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each text's word sequence."""
+        ends = self.first + self.count
+        n = self.count.astype(np.uint64)
+        return tuple(mix(_rolling(hashes, self.first, ends, _BASES[1 + salt]) + n, salt + 3) for salt in (0, 1))
+
     def starts(self, width: int) -> np.ndarray:
         """Word indexes at which ``width`` words of one text start."""
         if not len(self.lo):
