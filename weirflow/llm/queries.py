@@ -21,12 +21,39 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP1_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), n AS (SELECT doc_id, words, len(words) AS n FROM w),
+s AS (SELECT doc_id, n, words, unnest(range(1, n - 48)) AS i FROM n WHERE n >= 50),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS k FROM s),
+m AS (SELECT k, min(doc_id) AS lo FROM g GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+d AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT g.doc_id, g.i FROM g JOIN m USING (k) WHERE g.doc_id > m.lo), range(0, 50) r(j)),
+r AS (SELECT doc_id, list(p) AS gone FROM d GROUP BY doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM n LEFT JOIN r ON n.doc_id = r.doc_id
+"""
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -70,5 +97,5 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op5_ftrl_language, op6_exact_topk, op8_prefix_bpe, op9_fourier_quality, op10_line_blocks)}
-ORACLE: dict[str, str] = {"op6_exact_topk": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_cover_anchors, op2_source_mixing, op3_bayes_jaccard, op5_ftrl_language, op6_exact_topk, op8_prefix_bpe, op9_fourier_quality, op10_line_blocks)}
+ORACLE: dict[str, str] = {"op1_cover_anchors": OP1_SQL, "op6_exact_topk": OP6_SQL}
