@@ -54,6 +54,14 @@ def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from .edit_counts import count_edited
+
+    return count_edited(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
+
+
 def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -79,6 +87,13 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+def op7_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: each vector's picture is the media column, with edited copies of every fiftieth."""
+    from .media import groups, pictures
+
+    return groups(pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_bpe import encode_documents
 
@@ -97,5 +112,5 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cover_anchors, op2_source_mixing, op3_bayes_jaccard, op5_ftrl_language, op6_exact_topk, op8_prefix_bpe, op9_fourier_quality, op10_line_blocks)}
+QUERIES = {f.__name__: f for f in (op1_cover_anchors, op2_source_mixing, op3_bayes_jaccard, op4_edit_counts, op5_ftrl_language, op6_exact_topk, op7_local_descriptors, op8_prefix_bpe, op9_fourier_quality, op10_line_blocks)}
 ORACLE: dict[str, str] = {"op1_cover_anchors": OP1_SQL, "op6_exact_topk": OP6_SQL}
