@@ -1,11 +1,56 @@
-"""A corpus pipeline in stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline in stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Stages run over all that their predecessor kept; each result is written as Parquet in the shared
+folder and read again.  All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from weirflow.llm.jaccard import one_of_each
+from weirflow.llm.mixing import mixed
+from weirflow.llm.prefix_bpe import encode_documents
+from weirflow.llm.quality import keep_good
+from weirflow.llm.queries import table, tokenizer_file
+from weirflow.llm.substring import without_repeats
+from weirflow.llm.words import shared_folder
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words and more that start in an earlier document."""
+    return without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks for."""
+    return mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text that is left, as digests and counts."""
+    return encode_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages over ``documents``, each written as Parquet and read again."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        folder = shared_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return docs

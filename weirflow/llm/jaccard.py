@@ -323,3 +323,17 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
     got = s.select("doc_id", "c1", "c2").join(of_class, ["c1", "c2"]).select("doc_id", "class_id", "n_links", "group_id")
     rest = docs.filter(F.col("doc_id").isNull() | ~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
     return got.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("group_id")))
+
+
+def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, unchanged, without the near and exact copies of one with a smaller id.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
+    d = join(documents, threshold).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("group_id")).alias("lost"), F.count("*").alias("n"))
+    d = cut(d.filter("lost or n > 1"))
+    lost, repeated = d.filter("lost").select("doc_id"), d.filter("not lost").select("doc_id")
+    kept = documents.join(lost, "doc_id", "left_anti").select(documents.columns)
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").select(documents.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns))

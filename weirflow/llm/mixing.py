@@ -158,3 +158,13 @@ def mix(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
     chosen = F.when(F.col("extra") >= F.col("_before") + F.col("n"), True).when(F.col("extra") <= F.col("_before"), False).otherwise(F.col("_before") + rank <= F.col("extra"))
     copies = (F.col("times") + F.when(chosen, 1).otherwise(0)).cast("int")
     return x.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", copies.alias("copies"), (F.col("size") * copies).cast("bigint").alias("taken"))
+
+
+def mixed(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = SEED) -> DataFrame:
+    """``documents`` with each row as often as the mix takes it.
+
+    Rows that repeat an id are all taken as often as the one taken most; rows with a null id once.
+    """
+    copies = mix(documents, weights, most, seed).filter("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    x = documents.join(cut(copies), "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).filter("_copies > 0")
+    return x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(documents.columns)

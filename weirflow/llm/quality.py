@@ -198,13 +198,16 @@ def fit(learn: DataFrame, features: int = FEATURES, ridge: float = RIDGE, bins:
     return model
 
 
+def _learn(f: DataFrame, labels: DataFrame, label: str, keep) -> Model:
+    y = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
+    return fit(cut(f.filter(F.col("doc_id").isNotNull() & keep).join(y, "doc_id").select("f", "y")))
+
+
 def score(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; rows with ``crc32(doc_id) mod folds = held`` are never learnt from."""
     f = cut(featurize(documents))
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
-    y = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    learn = cut(f.filter(F.col("doc_id").isNotNull() & (fold != held)).join(y, "doc_id").select("f", "y"))
-    model = fit(learn)
+    model = _learn(f, labels, label, fold != held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,3 +218,18 @@ def score(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
 
     scored = f.mapInArrow(run, "doc_id bigint, score double, predicted int")
     return scored.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, least: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, unchanged, whose score is at least ``least``.
+
+    Statistics are computed anew where rows are filtered, so that no text is shuffled.
+    """
+    fold = F.crc32(F.col("doc_id").cast("string")) % folds
+    model = _learn(cut(featurize(documents)), labels, label, fold != held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= least))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -107,9 +107,11 @@ def _windows(docs: DataFrame, width: int, period: int, cover: tuple[int, ...]) -
 
 
 def _apply(docs: DataFrame, width: int, with_text: bool) -> DataFrame:
-    """(doc_id, text, found: list of (c1, whole, starts)) -> what is kept."""
+    """(doc_id, text, rest, found: list of (c1, whole, starts)) -> what is kept; ``rest`` is passed on."""
     import hashlib
 
+    rest = docs.schema["rest"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             found = b.column("found").to_pylist()
@@ -135,22 +137,23 @@ def _apply(docs: DataFrame, width: int, with_text: bool) -> DataFrame:
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text and n != len(words) else text if with_text else None))
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, b.column("rest")], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return docs.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, rest {rest}")
 
 
 def dedup(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (words left, joined by one space), kept.
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (words left, joined by one space), kept, rest.
 
-    ``kept`` is filled only ``with_text``: the words left joined by one space, or the text as it
+    ``rest`` holds the row's other columns as a struct.  ``kept`` is filled only ``with_text``: the words left joined by one space, or the text as it
     was if nothing is removed.
     """
     check_cover(period, cover)
     if not 0 < period < width:
         raise ValueError("the period must be smaller than the window")
-    docs = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    known = docs.filter("doc_id is not null and text is not null")
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("rest"))
+    known = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     a = cut(_anchors(known, width, period, cover).filter(F.col("n_words") >= width))
     owners = cut(a.groupBy("c1", "c2").agg(F.min("doc_id").alias("owner")))
     each = a.select("doc_id", "c1", F.explode("anchors").alias("h"))
@@ -165,3 +168,18 @@ def dedup(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cover:
     copies = copies.select("doc_id", F.struct("c1", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")).alias("x"))
     found = cut(parts.unionByName(copies).groupBy("doc_id").agg(F.collect_list("x").alias("found")))
     return _apply(docs.join(found, "doc_id", "left"), width, with_text)
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """``documents`` with repeated windows cut out of the texts; a text of which no word is left goes with its row.
+
+    ``n_chars``, if there, is counted anew for texts that changed.
+    """
+    got = dedup(documents, with_text=True).filter("n_removed = 0 or n_removed < n_words")
+    columns = []
+    for c in documents.columns:
+        if c == "n_chars":
+            columns.append(F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("rest.n_chars")).cast(documents.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("kept").alias("text") if c == "text" else F.col(c) if c == "doc_id" else F.col(f"rest.`{c}`").alias(c))
+    return got.select(columns)
