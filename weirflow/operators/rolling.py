@@ -22,5 +22,5 @@ def rolling_report(feed: DataFrame, batch: str, key: str, value: str, every: int
     return (
         each.join(last, "report", "left_semi")
         .groupBy("report", key)
-        .agg(F.sum("_n").alias("ticks"), (F.sum("_s") / F.sum("_m")).alias(f"avg_{value}"), F.max("_x").alias(f"max_{value}"))
+        .agg(F.sum("_n").alias("ticks"), (F.sum("_s").cast("double") / F.sum("_m")).alias(f"avg_{value}"), F.max("_x").cast("double").alias(f"max_{value}"))
     )
