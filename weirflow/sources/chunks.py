@@ -93,7 +93,9 @@ def write_chunks(df: DataFrame, folder: str, base: str, fmt: str, chunk: str | N
     """
     os.makedirs(local(folder), exist_ok=True)
     if chunk is None:
-        df, chunk, drop = df.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(n or 1))), "_chunk", True
+        # the id's upper bits are the partition's number, the lower ones the row's place in it
+        m = F.monotonically_increasing_id()
+        df, chunk, drop = df.withColumn("_chunk", F.pmod(F.shiftright(m, 33) + m.bitwiseAND((1 << 33) - 1), F.lit(n or 1))), "_chunk", True
     else:
         drop = False
     total = df.agg(F.max(chunk)).first()[0]
