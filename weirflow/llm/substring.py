@@ -159,7 +159,8 @@ def dedup(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cover:
     each = a.select("doc_id", "c1", F.explode("anchors").alias("h"))
     shared = cut(each.groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).filter("lo <> hi").select("h"))
     hits = each.select("doc_id", "h").join(shared, "h", "left_semi")
-    lists = hits.groupBy("doc_id").agg(F.collect_set("h").alias("anchors")).join(owners.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    lists = cut(hits.groupBy("doc_id").agg(F.collect_set("h").alias("anchors")).join(owners.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    del each, hits, shared
     w = cut(_windows(known.join(lists, "doc_id"), width, period, cover))
     firsts = cut(w.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("w1", "w2", "lo"))
     later = w.join(firsts, ["w1", "w2"]).filter("doc_id > lo")

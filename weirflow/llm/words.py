@@ -192,17 +192,27 @@ def shared_folder(spark, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df, eager: bool = True):
-    """``df.checkpoint()`` in the shared folder: cuts the lineage and survives lost executors."""
+def cut(df):
+    """``df.checkpoint()`` in the shared folder: cuts the lineage and survives lost executors.
+
+    What came before is released at once: Spark removes the shuffle files of plans that nothing refers
+    to any more, but only when the driver collects its garbage, which a small driver heap seldom does.
+    """
+    import gc
+
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not top:
             import tempfile
 
-            top = os.path.join(tempfile.gettempdir(), "weirflow-checkpoints")
+            top = os.path.join(tempfile.gettempdir(), "weirflow-checkpoints")  # only where the setting is absent, as in tests
         spark.sparkContext.setCheckpointDir(top)
-    return df.checkpoint(eager)
+    out = df.checkpoint(True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def sum_vectors(parts, spread: int = 32):
