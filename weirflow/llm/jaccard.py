@@ -164,6 +164,8 @@ def in_blocks(rows: DataFrame, key: str, fn: Callable[[pa.Table, pa.Table | None
                 out = fn(t, None)
             else:
                 blk = t.column("blk").to_numpy()
+                if (blk == blk[0]).all():
+                    continue  # the other block has no rows, and pairs inside this one are compared elsewhere
                 out = fn(t.filter(pa.array(blk == p)), t.filter(pa.array(blk == q)))
             if out is not None and out.num_rows:
                 yield out

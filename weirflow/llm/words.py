@@ -195,8 +195,8 @@ def shared_folder(spark, name: str) -> str:
 def cut(df):
     """``df.checkpoint()`` in the shared folder: cuts the lineage and survives lost executors.
 
-    What came before is released at once: Spark removes the shuffle files of plans that nothing refers
-    to any more, but only when the driver collects its garbage, which a small driver heap seldom does.
+    Its shuffle files go as soon as the checkpoint is written, and older checkpoints that nothing refers
+    to any more when the driver collects its garbage, which is asked for here.
     """
     import gc
 
@@ -208,7 +208,13 @@ def cut(df):
 
             top = os.path.join(tempfile.gettempdir(), "weirflow-checkpoints")  # only where the setting is absent, as in tests
         spark.sparkContext.setCheckpointDir(top)
-    out = df.checkpoint(True)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        out = df.select("*").checkpoint(True)  # a new plan, which takes the setting up
+    finally:
+        spark.conf.set(key, before)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
