@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import uri as U
+from .api_types import Message
 from .errors import FlowError, FormatError, ProtocolError, TransportError
 from .functions import csv as C
 from .functions import json as J
@@ -22,25 +22,6 @@ from .streaming import wires
 from .types import readable_batch
 
 
-@dataclass(frozen=True)
-class Message:
-    """A frame: an opaque payload, or a table."""
-
-    tag: int
-    name: str
-    payload: bytes
-    kind: str
-
-    def is_table(self) -> bool:
-        return self.kind == "table"
-
-    @property
-    def table(self) -> pa.Table:
-        if not self.is_table():
-            raise ProtocolError("a message frame holds no table")
-        return arrow_ipc.deserialise(self.payload)
-
-
 class Reader:
     """A source: ``dataframe()`` for Spark, iteration and ``read_all`` for Arrow batches on the driver."""
 
@@ -116,6 +97,8 @@ def read(
     U.check_tls(e, accept, tls_cert, tls_key, tls_ca)
     given = any(x is not None for x in (format, delimiter, header, batch_size, mmap, base)) or out_of_core
     U.check_place(e, accept=accept, parallel=parallel, protocol=p, format_arguments=given)
+    if e.wire and p == "frames":
+        return Reader(lambda r: _received(spark, e, accept, r), frames.Registry())
     if e.wire:
         if schema is None:
             raise TransportError("a wire has no schema before its first batch, pass schema=...")
@@ -168,6 +151,16 @@ def _narrow(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return select_columns(df, columns) if columns else df
 
 
+def _received(spark: SparkSession, e: U.Endpoint, accept: bool, registry: frames.Registry) -> DataFrame:
+    """The frames of one peer until it ends, taken on the driver, as its state is one sequence."""
+    from .streaming.connection import Connection
+
+    c = Connection.open(e.scheme, e.address, registry, accept, timeout=60)
+    rows = [(e.address, k, m.tag, m.name, m.kind, bytearray(m.payload)) for k, m in enumerate(c)]
+    c.close()
+    return spark.createDataFrame(rows, frames.FramesSource({}).schema())
+
+
 def _accepted(spark: SparkSession, e: U.Endpoint, n: int, order: bool) -> DataFrame:
     """Batches of n accepted peers; they are taken on the driver, where the listener is."""
     streams = [wires.read_wire(wires.open_wire(e.scheme, e.address, accept=True, timeout=60)) for _ in range(n)]
@@ -199,6 +192,7 @@ class Writer:
         self.registry = frames.Registry() if protocol == "frames" else None
         self._closed, self._tables, self._items, self._sent = False, [], [], 0
         self._wires: list[wires.WireWriter] = []
+        self._connection = None
 
     def _check(self) -> None:
         if self._closed:
@@ -218,7 +212,17 @@ class Writer:
 
     def write_message(self, name: str, payload: bytes) -> None:
         self._names().tag(name, "message")
-        self._items.append((name, bytes(payload)))
+        if self.endpoint.wire:
+            self._peer().send_message(name, bytes(payload))
+        else:
+            self._items.append((name, bytes(payload)))
+
+    def _peer(self):
+        if self._connection is None:
+            from .streaming.connection import Connection
+
+            self._connection = Connection.open(self.endpoint.scheme, self.endpoint.address, self.registry)
+        return self._connection
 
     def write(self, data, name: str | None = None) -> None:
         self._check()
@@ -237,7 +241,10 @@ class Writer:
             batches = t.to_batches() if isinstance(t, pa.Table) else [t]
         if batches and not len(batches[0].schema):
             raise FormatError("a table with no columns cannot be written")
-        if self.registry is not None:
+        if self.registry is not None and self.endpoint.wire:
+            for b in batches:
+                self._peer().send_table(name, b)
+        elif self.registry is not None:
             self.registry.tag(name, "table")
             self._items += [(name, b) for b in batches]
         elif self.endpoint.wire:
@@ -264,6 +271,8 @@ class Writer:
         try:
             for w in self._wires:
                 w.close()
+            if self._connection is not None:
+                self._connection.close()
             if self.endpoint.scheme == "file" and self.registry is not None and self._items:
                 frames.write_capture(self.endpoint.address, self.registry, self._items)
             elif self.endpoint.scheme == "file":
