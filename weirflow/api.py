@@ -102,9 +102,9 @@ def read(
     if e.wire:
         if schema is None:
             raise TransportError("a wire has no schema before its first batch, pass schema=...")
-        df = wires.read_wires(spark, e.scheme, e.address, schema, max(1, parallel)) if not accept else None
         if accept:
-            return Reader(lambda _: _accepted(spark, e, max(1, parallel), order))
+            return Reader(lambda _: _accepted(spark, e, max(1, parallel), order, (tls_cert, tls_key, None)))
+        df = wires.read_wires(spark, e.scheme, e.address, schema, max(1, parallel), tls_ca)
         return Reader(lambda _: df.orderBy("seq_id", "row_id") if order else df)
     if p == "frames":
         if e.scheme == "stdio":
@@ -161,9 +161,9 @@ def _received(spark: SparkSession, e: U.Endpoint, accept: bool, registry: frames
     return spark.createDataFrame(rows, frames.FramesSource({}).schema())
 
 
-def _accepted(spark: SparkSession, e: U.Endpoint, n: int, order: bool) -> DataFrame:
+def _accepted(spark: SparkSession, e: U.Endpoint, n: int, order: bool, tls: tuple) -> DataFrame:
     """Batches of n accepted peers; they are taken on the driver, where the listener is."""
-    streams = [wires.read_wire(wires.open_wire(e.scheme, e.address, accept=True, timeout=60)) for _ in range(n)]
+    streams = [wires.read_wire(wires.open_wire(e.scheme, e.address, accept=True, timeout=60, tls=tls)) for _ in range(n)]
     got = [(b, s) for b, s, _ in wires.rotate(streams, ordered=order)]
     if order:
         got.sort(key=lambda x: -1 if x[1] is None else x[1])
@@ -186,7 +186,8 @@ def _stdin(spark: SparkSession, fmt: str | None, delimiter: str | None, header:
 class Writer:
     """A target.  Several writes make one table; nothing written, no file."""
 
-    def __init__(self, e: U.Endpoint, fmt: str | None, protocol: str, compression: str | None, delimiter: str | None, header: bool | None, parallel: int):
+    def __init__(self, e: U.Endpoint, fmt: str | None, protocol: str, compression: str | None, delimiter: str | None, header: bool | None, parallel: int, accept: bool = False, tls: tuple = (None, None, None)):
+        self._accept, self._tls = accept, tls
         self.endpoint, self.format, self.protocol, self.compression = e, fmt, protocol, compression
         self.delimiter, self.header, self.parallel = delimiter or ",", True if header is None else header, parallel
         self.registry = frames.Registry() if protocol == "frames" else None
@@ -217,11 +218,14 @@ class Writer:
         else:
             self._items.append((name, bytes(payload)))
 
+    def _wire(self):
+        return wires.open_wire(self.endpoint.scheme, self.endpoint.address, self._accept, 60 if self._accept else None, True, self._tls)
+
     def _peer(self):
         if self._connection is None:
             from .streaming.connection import Connection
 
-            self._connection = Connection.open(self.endpoint.scheme, self.endpoint.address, self.registry)
+            self._connection = Connection(self._wire(), self.registry)
         return self._connection
 
     def write(self, data, name: str | None = None) -> None:
@@ -249,7 +253,7 @@ class Writer:
             self._items += [(name, b) for b in batches]
         elif self.endpoint.wire:
             if not self._wires:
-                self._wires = [wires.WireWriter(wires.open_wire(self.endpoint.scheme, self.endpoint.address), self.compression) for _ in range(max(1, self.parallel))]
+                self._wires = [wires.WireWriter(self._wire(), self.compression) for _ in range(max(1, self.parallel))]
             for b in batches:
                 self._wires[self._sent % len(self._wires)].write(b, self._sent)
                 self._sent += 1
@@ -348,7 +352,7 @@ def write(
     if compression not in (None, "zstd", "snappy", "none"):
         raise ValueError(f"unknown compression '{compression}'")
     if e.wire or p == "frames":
-        return Writer(e, None, p, compression, delimiter, header, parallel)
+        return Writer(e, None, p, compression, delimiter, header, parallel, accept, (tls_cert, tls_key, tls_ca))
     if e.scheme == "stdio":
         fmt = U.FORMAT_NAMES.get(format or "ipc")
         if fmt not in ("ipc", "csv", "json"):

@@ -1,4 +1,4 @@
-"""TCP and Unix-socket wires that carry Arrow streams, for batch and for Structured Streaming.
+"""Wires (TCP, Unix sockets, HTTP, WebSocket) that carry Arrow streams, for batch and for Structured Streaming.
 
 A peer connects or accepts; accepting peers share one listener per address in the process, and clients
 that come early wait in its queue.  The streaming source spools every batch that it takes off a wire
@@ -60,22 +60,31 @@ def close_listener(scheme: str, address: str) -> None:
         s.close()
 
 
-def open_wire(scheme: str, address: str, accept: bool = False, timeout: float | None = None) -> socket.socket:
+def open_wire(scheme: str, address: str, accept: bool = False, timeout: float | None = None, sending: bool = False, tls: tuple[str | None, str | None, str | None] = (None, None, None)):
+    """A connected socket, or what looks like one.  ``sending`` says which way an HTTP body goes; ``tls`` is certificate, key and CA."""
+    place, _, path = (address, "", "") if scheme == "uds" else address.partition("/")
     try:
         if accept:
-            s = listener(scheme, address)
+            s = listener(scheme, place)
             s.settimeout(timeout)
             c, _ = s.accept()
-            c.settimeout(None)
-            return c
-        family, where = _address(scheme, address)
-        c = socket.socket(family, socket.SOCK_STREAM)
-        c.settimeout(timeout)
-        c.connect(where)
+        else:
+            family, where = _address(scheme, place)
+            c = socket.socket(family, socket.SOCK_STREAM)
+            c.settimeout(timeout)
+            c.connect(where)
         c.settimeout(None)
-        return c
     except OSError as x:
         raise TransportError(f"{scheme}://{address}: {x}") from x
+    if scheme in ("tcp", "uds"):
+        return c
+    from .web import HttpWire, WebSocketWire, tls_wrap
+
+    if scheme in ("https", "wss"):
+        c = tls_wrap(c, place.rpartition(":")[0].strip("[]"), accept, *tls)
+    if scheme in ("http", "https"):
+        return HttpWire(c, place, f"/{path}", accept, sending)
+    return WebSocketWire(c, place, f"/{path}", accept)
 
 
 class WireWriter:
@@ -150,7 +159,7 @@ class _WireReader(DataSourceReader):
 
     def read(self, partition: _Stream) -> Iterator[pa.RecordBatch]:
         o = self.options
-        wire = open_wire(o["scheme"], o["address"], timeout=float(o.get("timeout", 30)))
+        wire = open_wire(o["scheme"], o["address"], timeout=float(o.get("timeout", 30)), tls=(None, None, o.get("tls_ca")))
         for k, (batch, seq, _) in enumerate(read_wire(wire, DecodeLimits.from_options(o))):
             batch = readable_batch(batch)
             n = batch.num_rows
@@ -228,10 +237,10 @@ def with_ids(schema: StructType | pa.Schema, stream: bool) -> StructType:
     return StructType([*s.fields, *(StructField(n, LongType()) for n in extra)])
 
 
-def read_wires(spark: SparkSession, scheme: str, address: str, schema: StructType, parallel: int = 1) -> DataFrame:
+def read_wires(spark: SparkSession, scheme: str, address: str, schema: StructType, parallel: int = 1, tls_ca: str | None = None) -> DataFrame:
     """All batches of one or more connections, with stream_id, seq_id and row_id."""
     spark.dataSource.register(WireSource)
-    return spark.read.format("arrow_wire").schema(with_ids(schema, False)).option("scheme", scheme).option("address", address).option("parallel", parallel).load()
+    return spark.read.format("arrow_wire").schema(with_ids(schema, False)).option("scheme", scheme).option("address", address).option("parallel", parallel).options(**({"tls_ca": tls_ca} if tls_ca else {})).load()
 
 
 def stream_wire(spark: SparkSession, scheme: str, address: str, schema: StructType, spool: str, role: str = "connect", batches_per_trigger: int = 8) -> DataFrame:
@@ -241,13 +250,13 @@ def stream_wire(spark: SparkSession, scheme: str, address: str, schema: StructTy
     return r.option("spool", spool).option("role", role).option("batches_per_trigger", batches_per_trigger).load()
 
 
-def send(df: DataFrame, scheme: str, address: str, parallel: int = 1, ordered: bool = True, compression: str | None = None, batch: str | None = None) -> int:
+def send(df: DataFrame, scheme: str, address: str, parallel: int = 1, ordered: bool = True, compression: str | None = None, batch: str | None = None, tls_ca: str | None = None) -> int:
     """Sends a DataFrame's batches over ``parallel`` wires in rotation, with sequence numbers if ``ordered``.
 
     Batches come to the driver one at a time.  ``batch`` names the column whose values are batches; the
     rows of one are sent together.
     """
-    writers = [WireWriter(open_wire(scheme, address), compression) for _ in range(parallel)]
+    writers = [WireWriter(open_wire(scheme, address, sending=True, tls=(None, None, tls_ca)), compression) for _ in range(parallel)]
     n = 0
     try:
         for b in local_batches(df, batch):
@@ -286,7 +295,7 @@ def foreach_batch_sender(scheme: str, address: str):
 
     def write(df: DataFrame, epoch: int) -> None:
         if "w" not in state:
-            state["w"] = WireWriter(open_wire(scheme, address))
+            state["w"] = WireWriter(open_wire(scheme, address, sending=True))
         for b in local_batches(df):
             state["w"].write(b, epoch)
 
