@@ -4,9 +4,11 @@ Reading: one input partition per record batch of a file, or one per stream (its
 sequential).  Options: ``path`` (a file, or a directory whose files are read in name order),
 ``layout`` (file, stream or auto), ``columns`` (comma-separated; the result keeps schema order),
 ``batch`` (one batch index), ``window_offset`` and ``window_rows`` (a row window of each batch),
-``ids`` (adds batch_id and row_id), ``mmap``, ``limit_<cap>``.
+``ids`` (``true`` adds batch_id and row_id, ``chunk`` adds the file's place as chunk_id), ``mmap``, ``limit_<cap>``.
 Spark does not prune columns of Python data sources, so ``columns`` is what keeps a scan narrow.
 
+Paths are on a file system that the driver and all executors mount.
+
 Writing: one file per task, ``part-NNNNN.arrow``; written beside and renamed at commit, so a task
 that is run twice leaves one file.  Options: ``layout``, ``compression`` (none or zstd).
 """
@@ -36,6 +38,9 @@ def local(path: str) -> str:
 
 
 def files_of(path: str) -> list[str]:
+    """The files of a path; several paths are separated by line breaks and keep their order."""
+    if "\n" in path:
+        return [f for p in path.split("\n") for f in files_of(p)]
     path = local(path)
     if os.path.isdir(path):
         found = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(EXTENSIONS) and not f.startswith(("_", ".")))
@@ -91,10 +96,11 @@ class _Batch(InputPartition):
     layout: str
     index: int | None
     first_id: int
+    file_no: int = 0
 
-    def __init__(self, path: str, layout: str, index: int | None, first_id: int):
+    def __init__(self, path: str, layout: str, index: int | None, first_id: int, file_no: int = 0):
         super().__init__((path, index))
-        self.path, self.layout, self.index, self.first_id = path, layout, index, first_id
+        self.path, self.layout, self.index, self.first_id, self.file_no = path, layout, index, first_id, file_no
 
 
 class _Reader(DataSourceReader):
@@ -102,20 +108,20 @@ class _Reader(DataSourceReader):
         self.options, self.schema = dict(options), schema
         self.limits = DecodeLimits.from_options(options)
         self.mmap = str(options.get("mmap", "true")).lower() == "true"
-        self.ids = str(options.get("ids", "false")).lower() == "true"
+        self.ids = str(options.get("ids", "false")).lower()
 
     def partitions(self) -> list[InputPartition]:
         out, first = [], 0
         layout = self.options.get("layout", "auto")
-        for path in files_of(self.options["path"]):
+        for no, path in enumerate(files_of(self.options["path"])):
             kind = layout_of(path, layout)
             if kind == "stream":
-                out.append(_Batch(path, kind, None, first))
+                out.append(_Batch(path, kind, None, first, no))
                 first += 1 << 20
                 continue
             with _open(path, self.mmap) as f:
                 n = pa.ipc.open_file(f).num_record_batches
-            out += [_Batch(path, kind, i, first + i) for i in range(n)]
+            out += [_Batch(path, kind, i, first + i, no) for i in range(n)]
             first += n
         if "batch" in self.options:
             want = int(self.options["batch"])
@@ -152,8 +158,10 @@ class _Reader(DataSourceReader):
                     check_window(batch.num_rows, start, rows)
                     batch = batch.slice(start, rows)
                 batch = readable_batch(batch)
-                if self.ids:
-                    n = batch.num_rows
+                n = batch.num_rows
+                if self.ids == "chunk":
+                    batch = batch.append_column("chunk_id", pa.array([partition.file_no] * n, pa.int64()))
+                elif self.ids == "true":
                     batch = batch.append_column("batch_id", pa.array([number] * n, pa.int64())).append_column("row_id", pa.array(range(start, start + n), pa.int64()))
                 yield batch
 
@@ -229,8 +237,8 @@ class ArrowIpcSource(DataSource):
             s = (pa.ipc.open_file if layout_of(path, self.options.get("layout", "auto")) == "file" else pa.ipc.open_stream)(f).schema
         fields = projected(s, self.options.get("columns"))
         out = spark_schema(s if fields is None else pa.schema([s.field(i) for i in fields]))
-        if str(self.options.get("ids", "false")).lower() == "true":
-            out = StructType([*out.fields, StructField("batch_id", LongType()), StructField("row_id", LongType())])
+        extra = {"true": ("batch_id", "row_id"), "chunk": ("chunk_id",)}.get(str(self.options.get("ids", "false")).lower(), ())
+        out = StructType([*out.fields, *(StructField(n, LongType()) for n in extra)])
         return out
 
     def reader(self, schema: StructType) -> DataSourceReader:

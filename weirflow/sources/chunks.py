@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+import shutil
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FormatError
-from .arrow_ipc import local, read_ipc, write_ipc
+from ..types import arrow_schema
+from .arrow_ipc import ipc_options, local, read_ipc
 
 # The extension of each chunked format.
 EXTENSION = {"ipc": "arrow", "parquet": "parquet", "csv": "csv"}
@@ -57,11 +61,8 @@ def read_chunks(spark: SparkSession, folder: str, base: str | None = None, fmt:
     else:
         picked = list(enumerate(paths))
     if fmt == "ipc":
-        parts = [read_ipc(spark, p, columns=columns).withColumn("chunk_id", F.lit(k).cast("bigint")) for k, p in picked]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+        df = read_ipc(spark, "\n".join([p for _, p in picked]), columns=columns, ids="chunk")
+        return df if chunk is None else df.withColumn("chunk_id", F.lit(chunk).cast("bigint"))
     place = F.create_map(*(x for k, p in picked for x in (F.lit(int(re.search(r"-(\d+)\.\w+$", p)[1])), F.lit(k))))
     number = F.regexp_extract(F.col("_metadata.file_name"), r"-(\d+)\.\w+$", 1).cast("int")
     if fmt == "parquet":
@@ -98,28 +99,21 @@ def write_chunks(df: DataFrame, folder: str, base: str, fmt: str, chunk: str | N
         df, chunk, drop = df.withColumn("_chunk", F.pmod(F.shiftright(m, 33) + m.bitwiseAND((1 << 33) - 1), F.lit(n or 1))), "_chunk", True
     else:
         drop = False
+    if fmt == "ipc":
+        return _write_ipc_chunks(df, folder, base, chunk, drop, start, compression)
     total = df.agg(F.max(chunk)).first()[0]
     if total is None:
         return []
     total = int(total) + 1
-    # one partition per chunk, by range, so that the partition's number is the chunk's
-    placed = df.repartitionByRange(total, chunk).sortWithinPartitions(chunk)
+    # rows of a chunk are in one range, so a chunk's folder gets one file
     stage = os.path.join(local(folder), f"_{base}.staged")
+    w = df.repartitionByRange(total, chunk).sortWithinPartitions(chunk).withColumn("_c", F.col(chunk))
+    w = (w.drop(chunk) if drop else w).write.mode("overwrite").partitionBy("_c").option("compression", compression or "none")
+    (w.parquet if fmt == "parquet" else w.option("header", True).option("emptyValue", "").csv)(stage)
     ext, out = EXTENSION[fmt], []
-    if fmt == "ipc":
-        for k in range(total):
-            part = placed.filter(F.col(chunk) == k)
-            write_ipc((part.drop(chunk) if drop else part).coalesce(1), f"{stage}/c={k}", compression=compression)
-    else:
-        w = placed.withColumn("_c", F.col(chunk))
-        w = (w.drop(chunk) if drop else w).write.mode("overwrite").partitionBy("_c")
-        w = w.option("compression", compression or "none")
-        (w.parquet if fmt == "parquet" else w.option("header", True).option("emptyValue", "").csv)(stage)
-    import shutil
-
     for k in range(total):
-        where = next(d for d in (f"{stage}/c={k}", f"{stage}/_c={k}") if os.path.isdir(d)) if any(os.path.isdir(f"{stage}/{x}={k}") for x in ("c", "_c")) else None
-        if where is None:
+        where = f"{stage}/_c={k}"
+        if not os.path.isdir(where):
             continue
         files = sorted(f for f in os.listdir(where) if f.endswith(f".{ext}"))
         if len(files) != 1:
@@ -129,3 +123,43 @@ def write_chunks(df: DataFrame, folder: str, base: str, fmt: str, chunk: str | N
         out.append(final)
     shutil.rmtree(stage)
     return out
+
+
+def _write_ipc_chunks(df: DataFrame, folder: str, base: str, chunk: str, drop: bool, start: int, compression: str | None) -> list[str]:
+    """One job: all rows of a chunk are in one partition, sorted; a task opens a file whenever the chunk changes.
+
+    A file is written beside and renamed when it is whole, so a task that runs twice leaves one file.
+    """
+    ipc_options(compression)
+    target = local(folder)
+    schema = arrow_schema(df.drop(chunk).schema if drop else df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        temporary = os.path.join(target, f"_attempt-{TaskContext.get().taskAttemptId()}.tmp")
+        now, writer, done = None, None, []
+
+        def finish() -> None:
+            if writer is not None:
+                writer.close()
+                os.replace(temporary, os.path.join(target, f"{base}-{start + now:010d}.arrow"))
+                done.append(now)
+
+        for b in batches:
+            keys = b.column(chunk).to_numpy(zero_copy_only=False)
+            body = b.drop_columns([chunk]) if drop else b
+            body = body.cast(schema) if body.schema != schema else body
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if keys[lo] != now:
+                    finish()
+                    now, writer = int(keys[lo]), pa.ipc.new_file(temporary, schema, options=ipc_options(compression))
+                writer.write_batch(body.slice(lo, hi - lo))
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["chunk"])
+
+    written = df.repartition(F.col(chunk)).sortWithinPartitions(chunk).mapInArrow(run, "chunk bigint").collect()
+    return [os.path.join(target, f"{base}-{start + k:010d}.arrow") for k in sorted(r["chunk"] for r in written)]
