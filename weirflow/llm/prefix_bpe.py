@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose ids a worker keeps; beyond it the table starts anew, so memory is bounded.
-KEEP = 300_000
+KEEP = 200_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
+_VISIBLE = re.compile("[!-~]*").fullmatch
 _CONTROL = regex.compile("[\x1c-\x1f]")
 # Fixed value: white space by Unicode.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -104,7 +108,7 @@ class PrefixBPE:
         known = self._pairs.get(key)
         if known is not None:
             return known
-        if len(self._pairs) >= 1_000_000:
+        if len(self._pairs) >= 400_000:
             self._pairs.clear()
         right, left, i, j, known = self._right[a], self._left[b], 0, 0, True
         while True:
@@ -128,22 +132,24 @@ class PrefixBPE:
             return []
         word = symbols[:-1] + chr(self.FINAL + ord(symbols[-1])) if self.end else symbols
         last: list[tuple | None] = [None] * (len(word) + 1)
-        pairs, compatible = self._pairs, self.compatible
+        known, compatible, done = self._pairs.get, self.compatible, -1
         for stop, token in self.automaton.iter(word):
-            stop += 1
-            if last[stop] is not None:
+            # the automaton gives all matches that end at one place one after the other
+            if stop == done:
                 continue
             i, size = token
-            if size == stop:
-                last[stop] = token
-                continue
-            before = last[stop - size]
-            if before is not None:
-                fits = pairs.get(before[0] << 32 | i)
+            before = last[stop + 1 - size]
+            if before is None:
+                if size <= stop:
+                    continue
+            else:
+                fits = known(before[0] << 32 | i)
                 if fits is None:
                     fits = compatible(before[0], i)
-                if fits:
-                    last[stop] = token
+                if not fits:
+                    continue
+            last[stop + 1] = token
+            done = stop
         out, at = [], len(word)
         while at:
             token = last[at]
@@ -187,13 +193,23 @@ class WordTokenizer:
         self._chunks = _Memo(self._chunk)
 
     def _word(self, word: str) -> tuple[bytes, int, str]:
-        ids = self.bpe.encode_word("".join(map(self._symbols.__getitem__, word.encode("utf-8"))))
-        return np.array(ids, dtype="<u4").tobytes(), len(ids), " ".join(map(self.bpe.outer.__getitem__, ids))
+        # printable ASCII stands for itself
+        symbols = word if _VISIBLE(word) else "".join(map(self._symbols.__getitem__, word.encode("utf-8")))
+        ids = self.bpe.encode_word(symbols)
+        raw = array("I", ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes(), len(ids), " ".join(map(self.bpe.outer.__getitem__, ids))
 
     def _chunk(self, chunk: str) -> tuple[bytes, int, str]:
         """A stretch without white space, which no word crosses."""
-        # the capital sigma has one lower form here, wherever it stands
-        found = [self._words[w] for w in self._split.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())]
+        if not chunk.isascii():
+            # the capital sigma has one lower form here, wherever it stands
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        low = chunk.lower()
+        if low.isascii() and low.isalpha():
+            return self._words[low]
+        found = [self._words[w] for w in self._split.findall(low)]
         if len(found) == 1:
             return found[0]
         return b"".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])
