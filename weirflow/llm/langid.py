@@ -159,14 +159,19 @@ def fit(learn: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (doc_id, text, lang)."""
     n, df = document_frequencies(learn)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 0.05, 0.0)
-    rows = learn.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text", "lang").limit(sample)
+    # the smallest hashes are found on ids alone, so that no task gathers other partitions' texts
+    h = F.xxhash64("doc_id")
+    last = learn.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return Model([], idf)
+    rows = learn.filter(h <= last).select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = [vector(t, idf) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([at.astype(np.int32).tobytes() for at, _ in v]), pa.array([x.astype(np.float32).tobytes() for _, x in v])], ["lang", "at", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([at.astype(np.int32).tobytes() for at, _ in v]), pa.array([x.astype(np.float32).tobytes() for _, x in v])], ["doc_id", "lang", "at", "x"])
 
-    got = rows.mapInArrow(vectors, "lang string, at binary, x binary").collect()
+    got = sorted(rows.mapInArrow(vectors, "doc_id bigint, lang string, at binary, x binary").collect(), key=lambda r: r["doc_id"])
     langs = sorted({r["lang"] for r in got})
     data = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), langs.index(r["lang"])) for r in got if len(r["at"])]
     model = Model(langs, idf)
