@@ -301,6 +301,15 @@ def test_pages_without_marked_article():
     assert html_blocks.main_text(page) == "Title " + " ".join(f"Paragraph {k} with quite some text in it, long enough to weigh." for k in range(6)) + " End."
 
 
+def test_unmarked_article_is_kept_whole():
+    box = "<aside><p>one</p><p>two</p><p>three</p></aside>"
+    assert html_blocks.main_text(f"<div><p>A</p><p>B</p>{box}<p>C</p><p>D</p></div>") == "A B C D"
+    links = "<ul><li><a href=/1>Share</a></li><li><a href=/2>Mail</a></li><li><a href=/3>Print</a></li></ul>"
+    first, last = "The first part of the text weighs enough to surge by its length alone.", "The second part, behind the list, is the heavier one of the two parts and surges."
+    assert html_blocks.main_text(f"<div><h1>Title</h1>{links}<p>{first}</p>{links}<p>{last}</p>{links}<p>End.</p></div>") == f"Title {first} {last} End."
+    assert html_blocks.main_text(f"<div><p>{first}</p></div>{links}<div><div><p>{last}</p></div></div>") == f"{first} {last}"
+
+
 def test_surge_and_dive():
     assert html_blocks.surge_and_dive([0, 5, 0, 0, 0, 40, 50, 0, 60, 0, 0, 0, 9]) == (5, 9)
     assert html_blocks.surge_and_dive([]) == (0, 0) == html_blocks.surge_and_dive([0, 0])

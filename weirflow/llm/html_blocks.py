@@ -4,9 +4,10 @@ Markup is stripped so that every block element is one line.  A line's weight is
 length of its text outside links; lines of page furniture (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments) weigh nothing.  Weights are summed
 over sliding windows of lines.  The text *surges* where a window sum rises over a
-threshold and *dives* where the windows fall back to nothing; of all such runs the one
-with most text is kept.  Where the page marks its article, only lines in the largest
-marked element can weigh anything.
+threshold and *dives* where the windows fall back to nothing.  Furniture is stripped like
+markup first.  Where the page marks its article, only lines in the largest marked element
+can weigh anything, and the run with most text is kept.  Where it does not, every run is
+kept, and so is every line with weight in an element that holds lines of a run.
 
 Defined results: null or empty html, or a page without any text, gives the empty
 string.  Pages repeat or share ids freely; each row is judged alone.  Stray ``<``,
@@ -71,21 +72,21 @@ def _hints(attrs: str) -> tuple[bool, bool]:
 
 
 class _Line:
-    __slots__ = ("furniture", "linked", "main", "parts")
+    __slots__ = ("furniture", "linked", "main", "parts", "place")
 
-    def __init__(self, furniture: bool, main: int):
+    def __init__(self, furniture: bool, main: int, place: tuple[int, int]):
         self.parts: list[str] = []
         self.linked = 0
-        self.furniture, self.main = furniture, main
+        self.furniture, self.main, self.place = furniture, main, place
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """The page's lines in order: text, characters in links, whether furniture, number of the article it is in (0: none)."""
+def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
+    """The page's lines in order: text, characters in links, whether furniture, number of the article it is in (0: none), numbers of its block and the block around it."""
     out: list[_Line] = []
-    now = _Line(False, 0)
-    #: open elements: name, whether furniture starts here, article number
-    stack: list[tuple[str, bool, int]] = []
-    bad = links = 0
+    now = _Line(False, 0, (0, 0))
+    #: open elements: name, whether furniture starts here, article number, element's number
+    stack: list[tuple[str, bool, int, int]] = []
+    bad = links = elements = 0
     articles, article = 0, 0
     at, n = 0, len(page)
 
@@ -93,7 +94,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = _Line(bad > 0, article)
+        blocks = (x[3] for x in reversed(stack) if x[0] not in INLINE)
+        now = _Line(bad > 0, article, (next(blocks, 0), next(blocks, 0)))
 
     def text(s: str) -> None:
         if s:
@@ -103,7 +105,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
 
     def pop() -> str:
         nonlocal bad, links, article
-        name, was_bad, was = stack.pop()
+        name, was_bad, was, _ = stack.pop()
         bad -= was_bad
         links -= name == "a"
         article = was
@@ -161,7 +163,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         furniture |= name in FURNITURE or name == "header" and not article
         if furniture and attrs.rstrip().endswith("/") and name not in ("div", "section"):
             continue
-        stack.append((name, furniture, article))
+        elements += 1
+        stack.append((name, furniture, article, elements))
         bad += furniture
         links += name == "a"
         if (name in ("article", "main") or main) and not bad and (not article or name == "article"):
@@ -176,25 +179,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     for x in out:
         said = " ".join(_html.unescape("".join(x.parts)).split())
         if said:
-            done.append((said, min(x.linked, len(said)), x.furniture, x.main))
+            done.append((said, min(x.linked, len(said)), x.furniture, x.main, x.place))
     return done
 
 
-def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First and last-plus-one line of the run of text with most weight (0, 0: none).
+def surges(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First and last-plus-one line of each run of text.
 
     ``sums[i]`` adds ``window`` lines from i.  A run begins at the first line with weight of a
     window whose sum reaches ``surge`` after one that did not, and ends where the sums dive to 0.
     """
     n = len(weights)
     if not n:
-        return 0, 0
+        return []
     sums = [sum(weights[i : i + window]) for i in range(n)]
     most = max(sums)
     level = min(surge, most)
     if most == 0:
-        return 0, 0
-    best, best_weight, i = (0, 0), -1, 0
+        return []
+    found, i = [], 0
     while i < n:
         if sums[i] < level:
             i += 1
@@ -210,11 +213,14 @@ def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE)
         stop = end
         while stop > begin and weights[stop - 1] == 0:
             stop -= 1
-        total = sum(weights[begin:stop])
-        if total > best_weight:
-            best, best_weight = (begin, stop), total
+        found.append((begin, stop))
         i = max(end, i + 1)
-    return best
+    return found
+
+
+def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """The run of text with most weight (0, 0: none)."""
+    return max(surges(weights, window, surge), key=lambda x: sum(weights[x[0] : x[1]]), default=(0, 0))
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -223,18 +229,21 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         return ""
     lines = lines_of(page)
     by_article: dict[int, int] = {}
-    for said, linked, furniture, main in lines:
+    for said, linked, furniture, main, _ in lines:
         if main and not furniture:
             by_article[main] = by_article.get(main, 0) + len(said) - linked + 1
     chosen = max(by_article, key=lambda k: (by_article[k], -k), default=0)
+    # furniture is stripped like markup
+    lines = [x for x in lines if not x[2]]
     if chosen:
-        # furniture inside the article is stripped like markup; outside it nothing weighs anything
-        lines = [x for x in lines if not x[2]]
-        weights = [surge + len(said) if main == chosen else 0 for said, _, _, main in lines]
-    else:
-        weights = [0 if furniture or 2 * linked > len(said) else len(said) - linked for said, linked, furniture, _ in lines]
-    begin, end = surge_and_dive(weights, window, surge)
-    return " ".join(lines[i][0] for i in range(begin, end) if not lines[i][2])
+        # outside the article nothing weighs anything
+        weights = [surge + len(said) if main == chosen else 0 for said, _, _, main, _ in lines]
+        begin, end = surge_and_dive(weights, window, surge)
+        return " ".join(x[0] for x in lines[begin:end])
+    weights = [0 if 2 * linked > len(said) else len(said) - linked for said, linked, *_ in lines]
+    kept = {i for run in surges(weights, window, surge) for i in range(*run)}
+    homes = {lines[i][4][1] for i in kept if weights[i]}
+    return " ".join(x[0] for i, x in enumerate(lines) if i in kept or weights[i] and not homes.isdisjoint(x[4]))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
