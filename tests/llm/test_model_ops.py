@@ -301,6 +301,20 @@ def test_pages_without_marked_article():
     assert html_blocks.main_text(page) == "Title " + " ".join(f"Paragraph {k} with quite some text in it, long enough to weigh." for k in range(6)) + " End."
 
 
+@pytest.mark.parametrize("html,text", [
+    ('<p>a <a href="/hidden-valley">valley</a> b</p>', "a valley b"), ('<p title="the hidden cost">cost</p>', "cost"), ('<div data-hidden="false">shown</div>', "shown"), ('<p title="x" hidden>no</p><p>yes</p>', "yes"),
+    ('<div class="overflow-hidden md:hidden">a</div>', "a"), ('<section id="discussion"><h2 id="search-methods">How</h2><p>b</p></section>', "How b"), ('<div class="section-header"><h2 class="header">T</h2></div><p class="form">c</p>', "T c"),
+    ('<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>\\x</annotation></math> holds</p>', "so x=1 holds"), ('<p>one <span aria-hidden="true">#</span>two</p>', "one two"), ('<div class="share-buttons">no</div><div class="wide comments">no</div><p>d</p>', "d"),
+    ('<div role="navigation">no</div><p>e</p>', "e"),
+])
+def test_names_that_only_look_like_furniture(html, text):
+    assert html_blocks.main_text(f"<article>{html}</article>") == text
+
+
+def test_attributes_outside_an_article():
+    assert html_blocks.main_text('<div><h2 id="search-methods">How</h2><p title="the hidden cost">Text.</p><section id="discussion"><p>More.</p></section></div><div id="sidebar">no</div><div class="site-footer">no</div>') == "How Text. More."
+
+
 def test_unmarked_article_is_kept_whole():
     box = "<aside><p>one</p><p>two</p><p>three</p></aside>"
     assert html_blocks.main_text(f"<div><p>A</p><p>B</p>{box}<p>C</p><p>D</p></div>") == "A B C D"

@@ -34,40 +34,61 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-_ATTR = re.compile(r"(class|id|role|style|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Element names of HTML by their part in a page.
 RAW = frozenset("script style textarea title noscript iframe noembed xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("head nav footer aside form menu dialog template svg math canvas audio video object button select datalist fieldset map".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+FURNITURE = frozenset("head nav footer aside form menu dialog template svg annotation annotation-xml canvas audio video object button select datalist fieldset map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom".split())
+#: Elements that hold others, whose whole class names are hints even inside the article.
+CONTAINERS = frozenset("div section article aside nav header footer main ul ol dl table figure center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark page furniture.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay toast "
     "sidebar aside rail widget widgets menu nav navbar navigation topnav topbar breadcrumb breadcrumbs pagination pager toc skip header masthead footer foot copyright legal colophon "
-    "comment comments respond reply replies disqus discussion responses share sharing social related recommended recommendations trending popular teaser teasers newsletter subscribe subscription signup login search form tags hidden".split()
+    "comment comments respond reply replies disqus discussion responses share sharing social related recommended recommendations trending popular teaser teasers newsletter subscribe subscription signup login search form tags".split()
 )
+ROLES = HINTS | {"complementary", "contentinfo", "dialog"}
+#: Whole class names that mark furniture inside an article though their words alone do not.
+WHOLE = HINTS | frozenset("comments-area comments-section comment-section comment-list comment-body comment-form share-buttons social-share related-posts related-articles ad-slot ad-container newsletter-signup cookie-notice cookie-banner post-navigation".split())
 MAIN_HINTS = frozenset("article articlebody main content post entry story".split())
 
 
-def _hints(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes mark furniture, and whether they mark main text."""
+def _hints(attrs: str, name: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the attributes of an element mark furniture, and whether they mark main text.
+
+    Names of headings and inline elements say nothing.  Inside an article, and on blocks that are no
+    containers, only whole class names count; ids count on containers outside an article, but not on
+    headings and sections, whose ids are made from their titles.
+    """
     bad = good = False
+    holds, named = name in CONTAINERS, name not in HEADINGS and name not in INLINE
+    seen = set()
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in seen:  # the first counts
+            continue
+        seen.add(key)
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             bad = True
-        elif name == "style":
-            bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        elif name in ("class", "id", "role"):
-            parts = [p for word in value.split() for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word))]
-            if value in ("complementary", "contentinfo", "search", "navigation", "banner", "dialog"):
-                bad = True
-            if any(p in HINTS for p in parts) and not any(p in ("article", "main", "articlebody") for p in parts):
-                bad = True
-            good |= value == "main" or any(p in ("articlebody", "main") for p in parts) or {"article", "content"} <= set(parts) or {"post", "content"} <= set(parts) or {"entry", "content"} <= set(parts)
-        elif name == "itemprop":
-            good |= value == "articlebody"
+        elif key == "style":
+            bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
+        elif key in ("class", "id", "role"):
+            value = value.lower()
+            names = set(value.split())
+            parts = {p for p in re.split(r"[^a-z]+", value) if p}
+            if not parts & {"article", "main", "articlebody"}:
+                if key == "role":
+                    bad |= bool(names & ROLES)
+                elif key == "class" and (inside or not holds):
+                    bad |= named and (holds or not inside) and bool(names & WHOLE)
+                elif holds and not (key == "id" and (inside or name == "section")):
+                    bad |= bool(parts & HINTS)
+            good |= value == "main" or bool(parts & {"articlebody", "main"}) or any({x, "content"} <= parts for x in ("article", "post", "entry"))
+        elif key == "itemprop":
+            good |= value.lower() == "articlebody"
     return bad, good
 
 
@@ -98,7 +119,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
         now = _Line(bad > 0, article, (next(blocks, 0), next(blocks, 0)))
 
     def text(s: str) -> None:
-        if s:
+        if s and now.furniture and not bad:
+            fresh()
+        # furniture inside a line is left out of it
+        if s and (now.furniture or not bad):
             now.parts.append(s)
             if links:
                 now.linked += len(s)
@@ -157,7 +181,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
                 if name == "article" and bad and not any(x[1] for x in stack if x[0] not in ("nav", "header", "head")):
                     while bad:
                         pop()
-        furniture, main = _hints(attrs) if attrs.strip(" /") else (False, False)
+        furniture, main = _hints(attrs, name, article > 0) if attrs.strip(" /") else (False, False)
         if name in ("html", "body", "main", "article") and not (name == "article" and furniture and re.search(r"comment|teaser|related|promo|sponsor", attrs, re.I)):
             furniture = False
         furniture |= name in FURNITURE or name == "header" and not article
@@ -172,8 +196,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
             article = articles
         if name not in INLINE:
             fresh()
-        elif furniture:
-            fresh()
     fresh()
     done = []
     for x in out:
