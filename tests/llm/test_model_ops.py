@@ -135,6 +135,35 @@ def test_edited_copies_are_found(spark):
     assert media.groups(df.limit(0)).count() == 0
 
 
+def test_turned_resized_noisy_and_strongly_cropped_copies_are_found(spark):
+    r = np.random.default_rng(8)
+    images = [media.render(r.normal(size=16).tolist()) for _ in range(10)]
+    rows = list(enumerate(images)) + [(100 + k, media.planted(x, k, 1)) for k, x in enumerate(images)]
+    large = media.render(list(range(16)), 400)
+    rows += [(50, large), (150, large[210:310, 60:160]), (151, media.warped(large, 0.7, 0.65)), (152, np.rot90(large))]
+    df = spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in rows], "media_id bigint, image binary")
+    got = {x.media_id: x.group_id for x in media.groups(df).collect()}
+    assert sum(got[100 + k] == k for k in range(10)) >= 9 and all(got[k] == k for k in range(10))
+    assert got[50] == got[150] == got[151] == got[152]
+
+
+def test_corners_grow_with_the_area():
+    small, large = (len(media.describe(media.render(list(range(16)), side).astype(np.float32))[0]) for side in (100, 400))
+    assert large > 12 * small > 0
+
+
+def test_buckets_in_blocks_give_all_pairs():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    n, blocks = 40, 3
+    d, blk = r.integers(0, 4, n), r.integers(0, blocks, n)
+    rows = sorted((7, min(blk[i], x), max(blk[i], x), blk[i], i % 30, i, int(d[i]) << 50, 0) for i in range(n) for x in range(blocks))
+    got = media._bucket_pairs(pa.table({c: [row[k] for row in rows] for k, c in enumerate(("key", "_p", "_q", "blk", "id", "k", "d0", "d1"))}))
+    pairs = set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert pairs == {(a % 30, b % 30) for a in range(n) for b in range(n) if a % 30 < b % 30}
+
+
 def test_descriptors_ignore_brightness_and_turns():
     image = media.render(list(range(16))).astype(np.float32)
     p, d = media.describe(image)

@@ -1,14 +1,18 @@
 """Media columns: local image descriptors find cropped or edited copies.
 
-Corners (structure tensor, several scales) get an orientation from their intensity centroid and a
-string of binary brightness tests on the turned patch, so that brightness, contrast and turning do
-not change it.  The string is cut into four words; two descriptors that differ in few bits agree in
-a whole word, so four hash tables propose all matches within three bits, which are then compared
-whole.  Each match implies a turn, a scale and a shift between its images; an image pair is a copy
-if enough distinct corners agree on one of them.
+Corners (structure tensor, scales a quarter octave apart down to the smallest that holds a patch)
+are all that are strongest in their neighbourhood, so their number grows with the image's area.
+Each gets an orientation from its intensity centroid and a string of binary brightness tests on the
+turned patch, so that brightness, contrast and turning change few of its bits.  Hash tables over
+random choices of its bits propose matches; two images with matches at two corners are compared
+whole: all close descriptors vote for a turn, scale and shift, and the pair is a copy if enough
+distinct corners of both agree on one.
 
-Scale: byte-equal images are one class and only its smallest id is compared.  Buckets are cut into
-blocks that meet two at a time; descriptors that no other image shares are dropped before.
+The tables find likely, not all, matches: two descriptors that differ in 4, 8 or 12 bits meet in a
+table with probability 0.98, 0.76 and 0.41, so copies with few common corners may be missed.
+
+Scale: byte-equal images are one class and only its smallest id is compared.  The tables are made one
+after the other.  Buckets are cut into blocks that meet two at a time.
 
 Defined results: an image that is null or cannot be read has no descriptors, its own class and no
 links (null images are not copies of each other); a row with a null id has null class and group.
@@ -28,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .jaccard import in_blocks
 from .words import cut
 
-#: Scales and corners kept at each; patch radius, brightness tests; bits that may differ; corners that must agree.
-SCALES, CORNERS, RADIUS, TESTS, BITS, AGREE = (1.0, 0.75, 0.5), (16, 10, 6), 8, 128, 3, 5
-#: Turns that are told apart, cell of a shift in pixels, descriptors of a block.
-TURNS, CELL, BLOCK = 32, 12, 1024
+#: Ratio of scales; neighbourhood of a corner; patch radius, brightness tests; corners that must agree.
+STEP, NEAR, RADIUS, TESTS, AGREE = 2**-0.25, 3, 12, 128, 5
+#: Hash tables, bits of a key; bits that may differ in a bucket and between compared images; matches of a compared pair.
+TABLES, KEY_BITS, BITS, WIDE, SEEN = 8, 28, 12, 18, 2
+#: Turns that are told apart, descriptors of a block; pixels of a corner's scale and share of its distance that it may be off.
+TURNS, BLOCK, OFF, OFF_SHARE = 64, 1024, 2.5, 0.02
 _HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s", re.S)
 
 _rng = np.random.Generator(np.random.PCG64(23))
@@ -43,6 +48,7 @@ _r, _a = RADIUS * np.sqrt(_rng.uniform(0.05, 1, (TESTS, 2))), _rng.uniform(0, 2
 _PATTERN = np.rint(np.stack([np.stack([_r * np.cos(_a + t), _r * np.sin(_a + t)], -1) for t in 2 * np.pi * np.arange(TURNS) / TURNS])).astype(int)
 _dy, _dx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISK = _dx**2 + _dy**2 <= RADIUS**2
+_KEYS = np.stack([_rng.permutation(TESTS)[:KEY_BITS] for _ in range(TABLES)])
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -80,30 +86,34 @@ def _resize(x: np.ndarray, scale: float) -> np.ndarray:
     return (smooth[np.ix_(y0, x0)] * (1 - fx) + smooth[np.ix_(y0, x1)] * fx) * (1 - fy) + (smooth[np.ix_(y1, x0)] * (1 - fx) + smooth[np.ix_(y1, x1)] * fx) * fy
 
 
+def _most(x: np.ndarray, r: int) -> np.ndarray:
+    """Largest value of squares of side 2r + 1."""
+    for axis in (0, 1):
+        p = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], constant_values=-np.inf)
+        n = x.shape[axis]
+        x = np.maximum.reduce([p[k : k + n] if axis == 0 else p[:, k : k + n] for k in range(2 * r + 1)])
+    return x
+
+
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners (x, y, scale index, turn) in the image's pixels, and their descriptors (4 words of 32 bits)."""
     points, words = [], []
     edge = RADIUS + 2
-    for level, (scale, most) in enumerate(zip(SCALES, CORNERS, strict=True)):
+    for level in range(64):
+        scale = STEP**level
+        if int(min(image.shape) * scale) <= 2 * edge + 2:
+            break
         x = _resize(image, scale)
-        if min(x.shape) <= 2 * edge + 2:
-            continue
         s = _box(x, 1)
         gy, gx = np.gradient(s)
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = a * b - c * c - 0.05 * (a + b) ** 2
         core = r[edge:-edge, edge:-edge]
-        peak = core > 1e-6
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dx or dy:
-                    near = r[edge + dy : r.shape[0] - edge + dy, edge + dx : r.shape[1] - edge + dx]
-                    peak &= core >= near
+        peak = (core > 1e-6) & (core >= _most(r, NEAR)[edge:-edge, edge:-edge])
         y, z = np.nonzero(peak)
         if not len(y):
             continue
-        best = np.lexsort((z, y, -core[y, z]))[:most]
-        y, z = y[best] + edge, z[best] + edge
+        y, z = y + edge, z + edge
         patch = s[y[:, None, None] + _dy, z[:, None, None] + _dx] * _DISK
         turn = np.rint(np.arctan2((patch * _dy).sum((1, 2)), (patch * _dx).sum((1, 2))) / (2 * np.pi) * TURNS).astype(int) % TURNS
         at = _PATTERN[turn]
@@ -117,71 +127,151 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _describe_all(media: DataFrame) -> DataFrame:
+    """id, p, d: corners (4 floats each) and descriptors (16 bytes each) of images that have any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                rows = []
-                for raw in part.column("image").to_pylist():
+                ids, points, words = [], [], []
+                for i, raw in zip(part.column("id").to_pylist(), part.column("image").to_pylist(), strict=True):
                     image = decode_pgm(raw)
-                    p, d = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, 4), np.uint32))
-                    rows.append([{"k": k, "x": float(x), "y": float(y), "s": int(s), "t": int(t), "d": w.tobytes(), "w": w.tolist()} for k, ((x, y, s, t), w) in enumerate(zip(p, d, strict=True))])
-                kind = pa.list_(pa.struct([("k", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("s", pa.int32()), ("t", pa.int32()), ("d", pa.binary()), ("w", pa.list_(pa.int64()))]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, kind)], ["id", "p"])
-
-    return media.select("id", "image").mapInArrow(run, "id bigint, p array<struct<k int, x double, y double, s int, t int, d binary, w array<bigint>>>")
-
-
-def _matches(x: pa.Table, y: pa.Table | None) -> pa.RecordBatch | None:
-    """Votes of one bucket: pairs of images, corner of the first, and the motion it implies."""
-    z = pa.concat_tables([x, y]) if y is not None else x
-    n = x.num_rows
-    ids, k, px, py, s, t = (z.column(c).to_numpy() for c in ("id", "k", "x", "y", "s", "t"))
-    d = np.frombuffer(b"".join(z.column("d").to_pylist()), np.uint64).reshape(-1, 2)
-    left = np.arange(n)
-    right = np.arange(n, len(ids)) if y is not None else left
-    out = []
-    for lo in range(0, len(left), 256):
-        a = left[lo : lo + 256]
-        far = np.bitwise_count(d[a, None, :] ^ d[None, right, :]).sum(-1)
-        i, j = np.nonzero((far <= BITS) & (ids[a, None] != ids[None, right]))
-        i, j = a[i], right[j]
-        if y is None:
-            i, j = i[i < j], j[i < j]
-        out.append(np.stack([i, j]))
-    i, j = np.concatenate(out, axis=1)
-    if not len(i):
+                    p, d = describe(image) if image is not None else ((), ())
+                    if len(p):
+                        ids.append(i)
+                        points.append(p.astype(np.float32).tobytes())
+                        words.append(d.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(points, pa.binary()), pa.array(words, pa.binary())], ["id", "p", "d"])
+
+    return media.select("id", "image").mapInArrow(run, "id bigint, p binary, d binary")
+
+
+def _keys(described: DataFrame, table: int) -> DataFrame:
+    """key, id, k, d0, d1: each descriptor under its key in one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                raw = part.column("d").to_pylist()
+                n = [len(x) // 16 for x in raw]
+                d = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 16)
+                bits = np.unpackbits(d, axis=1)[:, _KEYS[table]].astype(np.int64)
+                two = np.ascontiguousarray(d).view(np.int64)
+                k = np.concatenate([np.arange(m, dtype=np.int32) for m in n])
+                yield pa.RecordBatch.from_arrays([pa.array(bits @ (1 << np.arange(KEY_BITS))), pa.array(np.repeat(part.column("id").to_numpy(), n)), pa.array(k), pa.array(two[:, 0]), pa.array(two[:, 1])], ["key", "id", "k", "d0", "d1"])
+
+    return described.select("id", "d").mapInArrow(run, "key bigint, id bigint, k int, d0 bigint, d1 bigint")
+
+
+def _bucket_pairs(t: pa.Table) -> pa.RecordBatch | None:
+    """Close descriptors of different images in whole groups of (key, _p, _q), which lie together."""
+    key, p, q, blk, ids, k, d0, d1 = (t.column(c).to_numpy() for c in ("key", "_p", "_q", "blk", "id", "k", "d0", "d1"))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(key)))
+    end = np.repeat(start + size, size)
+    out, at, shift = [], np.arange(len(key)), 1
+    while True:
+        at = at[at + shift < end[at]]
+        if not len(at):
+            break
+        to = at + shift
+        far = np.bitwise_count(d0[at] ^ d0[to]) + np.bitwise_count(d1[at] ^ d1[to])
+        ok = (far <= BITS) & (ids[at] != ids[to]) & ((p[at] == q[at]) | (blk[at] != blk[to]))
+        out.append((at[ok], to[ok]))
+        shift += 1
+    if not out:
         return None
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
     swap = ids[i] > ids[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    turn = (t[j] - t[i]) % TURNS
-    angle, grow = 2 * np.pi * turn / TURNS, np.array(SCALES)[s[i]] / np.array(SCALES)[s[j]]
-    sx = px[j] - grow * (np.cos(angle) * px[i] - np.sin(angle) * py[i])
-    sy = py[j] - grow * (np.sin(angle) * px[i] + np.cos(angle) * py[i])
-    # turns and shifts near a cell's edge vote for the next cell too
-    rows = []
-    for dt in (0, 1):
-        for ox in (0, CELL / 2):
-            for oy in (0, CELL / 2):
-                rows.append(np.stack([ids[i], ids[j], k[i], (turn + dt) // 2 % (TURNS // 2) + 100 * dt, np.rint(4 * np.log2(grow)), np.floor((sx + ox) / CELL) + 1000 * (ox > 0), np.floor((sy + oy) / CELL) + 1000 * (oy > 0)]).astype(np.int64))
-    v = np.unique(np.concatenate(rows, axis=1), axis=1)
-    motion = ((v[3] * 64 + v[4] + 32) * 8192 + v[5] + 4096) * 8192 + v[6] + 4096
-    return pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1]), pa.array(v[2].astype(np.int32)), pa.array(motion)], ["a", "b", "k", "motion"])
+    got = np.unique(np.stack([ids[i], ids[j], k[i].astype(np.int64)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(got[2].astype(np.int32))], ["a", "b", "k"])
+
+
+def _in_table(described: DataFrame, table: int) -> DataFrame:
+    """a, b, k: images that match in a table, and the corner of the first."""
+    each = _keys(described, table)
+    big = cut(each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
+    rows = each.join(F.broadcast(big), "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("id", "k"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("_p", F.least("blk", "_x")).withColumn("_q", F.greatest("blk", "_x")).drop("_x", "nb")
+    rows = rows.repartition("key", "_p", "_q").sortWithinPartitions("key", "_p", "_q", "blk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < 50_000:
+                continue
+            t = pa.Table.from_batches(held)
+            key, p, q = (t.column(c).to_numpy() for c in ("key", "_p", "_q"))
+            last = np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))
+            upto = int(last[-1]) + 1 if len(last) else 0
+            if upto and (got := _bucket_pairs(t.slice(0, upto))) is not None:
+                yield got
+            held = t.slice(upto).combine_chunks().to_batches()
+            n = t.num_rows - upto
+        if n and (got := _bucket_pairs(pa.Table.from_batches(held))) is not None:
+            yield got
+
+    return rows.mapInArrow(run, "a bigint, b bigint, k int").distinct()
+
+
+def agreeing(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, agree: int = AGREE) -> int:
+    """Distinct corners of both images that agree on one motion; stops at ``agree``."""
+    found = []
+    for lo in range(0, len(da), 256):
+        i, j = np.nonzero(np.bitwise_count(da[lo : lo + 256, None] ^ db[None]).sum(-1) <= WIDE)
+        found.append((i + lo, j))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    if min(len(np.unique(i)), len(np.unique(j))) < agree:
+        return 0
+    a, b = pa_[i, 0] + 1j * pa_[i, 1], pb[j, 0] + 1j * pb[j, 1]
+    rough = STEP ** (pa_[i, 2] - pb[j, 2]) * np.exp(2j * np.pi * (pb[j, 3] - pa_[i, 3]) / TURNS)
+    off = OFF / STEP ** pb[j, 2]
+    best = 0
+    for h in range(len(i)):
+        x, y = a - a[h], b - b[h]
+        alike = np.abs(rough / rough[h] - 1) < 0.45
+        near = alike & (np.abs(y - rough[h] * x) <= off + 0.25 * np.abs(rough[h] * x))
+        for _ in range(2):
+            weight = (np.abs(x[near]) ** 2).sum()
+            if not weight:
+                break
+            fit = (x[near].conj() * y[near]).sum() / weight
+            near = alike & (np.abs(y - fit * x) <= off + OFF_SHARE * np.abs(fit * x))
+        best = max(best, min(len(np.unique(i[near])), len(np.unique(j[near]))))
+        if best >= agree:
+            break
+    return best
+
+
+def _compared(both: DataFrame, agree: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("pa", "da", "pb", "db")), strict=True)
+            votes = [agreeing(*(np.frombuffer(x, t).reshape(-1, m) for x, (t, m) in zip(row, ((np.float32, 4), (np.uint64, 2)) * 2, strict=True)), agree) for row in rows]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(votes, pa.int64())], ["a", "b", "votes"])
+
+    return both.mapInArrow(run, "a bigint, b bigint, votes bigint")
 
 
 def copies(media: DataFrame, agree: int = AGREE) -> DataFrame:
-    """Pairs of different images that show the same: a, b (smallest ids of their classes), votes; and classes: id, h."""
+    """Pairs of different images that show the same: a, b (smallest ids of their classes), votes (counted up to ``agree``); and classes: id, h."""
     m = media.selectExpr("cast(media_id as bigint) id", "cast(image as binary) image").filter("id is not null and image is not null").withColumn("h", F.sha2("image", 256))
     classes = cut(m.select("id", "h"))
     owners = cut(classes.groupBy("h").agg(F.min("id").alias("id")))
-    reps = m.join(owners, ["id", "h"]).select("id", "image")
-    points = cut(_describe_all(reps).select("id", F.explode("p").alias("p")).select("id", "p.*"))
-    each = points.select("id", "k", "x", "y", "s", "t", "d", F.posexplode("w").alias("table", "word")).withColumn("key", F.col("table") * F.lit(1 << 32) + F.col("word"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
-    shared = cut(shared.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
-    members = each.join(shared, "key").withColumn("blk", F.pmod(F.xxhash64("id", "k"), F.col("nb")).cast("int"))
-    votes = in_blocks(members.select("key", "nb", "blk", "id", "k", "x", "y", "s", "t", "d"), "key", _matches, "a bigint, b bigint, k int, motion bigint").distinct()
-    pairs = votes.groupBy("a", "b", "motion").agg(F.count("*").alias("n")).groupBy("a", "b").agg(F.max("n").alias("votes")).filter(F.col("votes") >= agree)
+    reps = m.join(owners, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "image")
+    described = cut(_describe_all(reps))
+    matched = cut(_in_table(described, 0))
+    for table in range(1, TABLES):
+        matched = matched.unionByName(cut(_in_table(described, table)))
+    likely = cut(matched.distinct().groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN).select("a", "b"))
+    both = likely.join(described.select(F.col("id").alias("a"), F.col("p").alias("pa"), F.col("d").alias("da")), "a").join(described.select(F.col("id").alias("b"), F.col("p").alias("pb"), F.col("d").alias("db")), "b")
+    pairs = _compared(both.select("a", "b", "pa", "da", "pb", "db"), agree).groupBy("a", "b").agg(F.max("votes").alias("votes")).filter(F.col("votes") >= agree)
     return cut(pairs), classes, owners
 
 
@@ -210,6 +300,40 @@ def edited(image: np.ndarray, left: int, top: int, contrast: float = 0.8, bright
     return np.clip(image[top:, left:] * contrast + brightness, 0, 255).astype(np.uint8)
 
 
+def warped(image: np.ndarray, angle: float = 0, zoom: float = 1) -> np.ndarray:
+    """A turned and resized copy; what the picture does not show repeats its edge."""
+    h, w = image.shape
+    x = _box(image.astype(np.float64), round(0.4 / zoom)) if zoom < 1 else image
+    yy, xx = np.mgrid[: int(h * zoom), : int(w * zoom)] + 0.5
+    dx, dy = xx / zoom - w / 2, yy / zoom - h / 2
+    u = np.clip(np.cos(angle) * dx + np.sin(angle) * dy + w / 2 - 0.5, 0, w - 1.001)
+    v = np.clip(np.cos(angle) * dy - np.sin(angle) * dx + h / 2 - 0.5, 0, h - 1.001)
+    x0, y0 = u.astype(int), v.astype(int)
+    fx, fy = u - x0, v - y0
+    got = (x[y0, x0] * (1 - fx) + x[y0, x0 + 1] * fx) * (1 - fy) + (x[y0 + 1, x0] * (1 - fx) + x[y0 + 1, x0 + 1] * fx) * fy
+    return np.clip(got, 0, 255).astype(np.uint8)
+
+
+#: Edits that the copies go through in turn.
+EDITS = ("cropped", "turned", "resized", "noisy", "strongly cropped")
+
+
+def planted(image: np.ndarray, i: int, every: int) -> np.ndarray:
+    """The edited copy of row i's picture."""
+    n = i // every
+    kind = EDITS[n % len(EDITS)]
+    if kind == "turned":
+        return warped(image, 0.15 + n % 40 * 0.15)
+    if kind == "resized":
+        return warped(image, 0, (0.8, 0.9, 1.15, 1.3)[n // len(EDITS) % 4])
+    if kind == "noisy":
+        return np.clip(image + np.random.Generator(np.random.PCG64(abs(i))).normal(0, 8, image.shape), 0, 255).astype(np.uint8)
+    if kind == "strongly cropped":
+        h, w = image.shape
+        return image[h // 5 : h // 5 + 2 * h // 3, w // 6 : w // 6 + 2 * w // 3]
+    return edited(image, 4 + i % 11, 3 + i % 7)
+
+
 def pictures(vectors: DataFrame, every: int = 50, of: int = 7) -> DataFrame:
     """media_id, image: a picture of each row, and an edited copy (id ``-1 - id``) of those with ``id mod every = of``."""
 
@@ -224,7 +348,7 @@ def pictures(vectors: DataFrame, every: int = 50, of: int = 7) -> DataFrame:
                     images.append(None if image is None else encode_pgm(image))
                     if i is not None and image is not None and i % every == of:
                         ids.append(-1 - i)
-                        images.append(encode_pgm(edited(image, 4 + i % 11, 3 + i % 7)))
+                        images.append(encode_pgm(planted(image, i, every)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], ["media_id", "image"])
 
     return vectors.selectExpr("cast(vec_id as bigint) vec_id", "cast(embedding as array<float>) embedding").mapInArrow(run, "media_id bigint, image binary")
