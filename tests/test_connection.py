@@ -82,3 +82,17 @@ def test_raw_bytes(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(bytes(range(250)))
     got = read_bytes(spark, str(tmp_path / "x.bin"), chunk=100).orderBy("offset").collect()
     assert [len(r.bytes) for r in got] == [100, 100, 50] and b"".join(bytes(r.bytes) for r in got) == bytes(range(250))
+
+
+def test_wire_carries_the_whole_table(spark, tmp_path, monkeypatch):
+    from weirflow.plans import registry as plans
+    from weirflow.streaming import wires
+
+    sf = f"file://{tmp_path}"
+    spark.range(2350).selectExpr("id event_id", "id / 4 value").write.parquet(f"{sf}/events.parquet")
+    sent, write = [], wires.WireWriter.write
+    monkeypatch.setattr(wires.WireWriter, "write", lambda self, b, seq=None, meta=None: (sent.append(b.num_rows), write(self, b, seq, meta)) and None)
+    assert plans.QUERIES["wire_tcp_roundtrip"](spark, sf).count() == 1000
+    events = plans.table(spark, sf, "events").select("event_id", "value")
+    assert sum(sent) == events.count() == 2350
+    assert [tuple(r) for r in plans.events_over_tcp(spark, sf).collect()] == sorted(tuple(r) for r in events.collect())

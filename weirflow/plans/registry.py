@@ -614,20 +614,33 @@ def limits_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value FROM events WHERE event_id < 1000")
 def wire_tcp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten batches over two TCP connections, read by Spark and put in sequence."""
+    """The first thousand events, after all went over two TCP connections."""
+    return events_over_tcp(spark, sf_dir).filter("event_id < 1000")
+
+
+def events_over_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in batches of 100 over two TCP connections, read by Spark and put in sequence."""
     import socket
     import threading
 
-    from ..streaming.wires import WireWriter, read_wires
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from ..streaming.wires import WireWriter, local_batches, read_wires
 
-    e = table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", "value").orderBy("event_id").toArrow()
+    e = table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id")
+    # spooled first: the readers may hold every slot that fetching needs
+    spool = tempfile.TemporaryFile()
+    with pa.ipc.new_stream(spool, to_arrow_schema(e.schema)) as w:
+        for b in local_batches(e, rows=100):
+            w.write_batch(b)
+    spool.seek(0)
     s = socket.create_server(("127.0.0.1", 0), backlog=8)
     address = f"127.0.0.1:{s.getsockname()[1]}"
 
     def serve() -> None:
         peers = [WireWriter(s.accept()[0]) for _ in range(2)]
-        for k in range(10):
-            for b in e.slice(100 * k, 100).combine_chunks().to_batches():
+        with spool:
+            for k, b in enumerate(pa.ipc.open_stream(spool)):
                 peers[k % 2].write(b, k)
         for p in peers:
             p.close()
