@@ -340,6 +340,13 @@ def test_names_that_only_look_like_furniture(html, text):
     assert html_blocks.main_text(f"<article>{html}</article>") == text
 
 
+def test_nested_articles_are_one():
+    parts = "".join(f"<article><h2>Part {k}</h2><p>Text {k}.</p><p>More {k}.</p></article>" for k in range(3))
+    said = " ".join(f"Part {k} Text {k}. More {k}." for k in range(3))
+    for outer in ("main", "article"):
+        assert html_blocks.main_text(f"<div>out</div><{outer}><h1>Title</h1><p>Before.</p>{parts}<p>After.</p><article class='teaser'>no</article></{outer}><div>out</div>") == f"Title Before. {said} After."
+
+
 def test_attributes_outside_an_article():
     assert html_blocks.main_text('<div><h2 id="search-methods">How</h2><p title="the hidden cost">Text.</p><section id="discussion"><p>More.</p></section></div><div id="sidebar">no</div><div class="site-footer">no</div>') == "How Text. More."
 

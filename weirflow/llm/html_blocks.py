@@ -6,7 +6,8 @@ sidebars, notices, adverts, forms, reader comments) weigh nothing.  Weights are
 over sliding windows of lines.  The text *surges* where a window sum rises over a
 threshold and *dives* where the windows fall back to nothing.  Furniture is stripped like
 markup first.  Where the page marks its article, only lines in the largest marked element
-can weigh anything, and the run with most text is kept.  Where it does not, every run is
+can weigh anything, marked elements inside it being parts of it, and the run with most
+text is kept.  Where it does not, every run is
 kept, and so is every line with weight in an element that holds lines of a run.
 
 Defined results: null or empty html, or a page without any text, gives the empty
@@ -191,7 +192,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
         stack.append((name, furniture, article, elements))
         bad += furniture
         links += name == "a"
-        if (name in ("article", "main") or main) and not bad and (not article or name == "article"):
+        if (name in ("article", "main") or main) and not bad and not article:
             articles += 1
             article = articles
         if name not in INLINE:
