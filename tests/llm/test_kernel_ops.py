@@ -318,3 +318,60 @@ def test_counts_of_documents(spark, counter):
     d = docs(spark, rows).withColumn("edits", F.expr("array(named_struct('start', 0, 'length', 4, 'put', 'post'))"))
     by = edit_counts.count_edited(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, edits="edits").filter("doc_id = 1").first()
     assert by.n_edits == 1 and by.n_tokens_edited == n("post" + rows[0][1][4:])
+
+
+# -- the pipeline
+
+
+def test_pipeline_rows_equal_a_plain_chain(spark, tmp_path):
+    """run() against the stages in plain Python, given the classifier's scores and which rows of a length the mix's hash takes."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as cp
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from weirflow.llm import quality, queries
+
+    v = vocabulary(9000, 8)
+    rows = [(i, " ".join(v[90 * i : 90 * i + 60 + i % 4 * 10]).capitalize() + ".", "abc"[i % 3]) for i in range(40)]
+    rows += [(100 + k, rows[k][1].replace(" w", "  w", 3), "c") for k in range(4)]  # exact copies but for blanks
+    rows += [(110 + k, rows[5 + k][1] + " edit", "b") for k in range(4)]  # near copies
+    rows += [(120 + k, " ".join(v[5000 + 90 * k : 5070 + 90 * k]) + " " + rows[12 + k][1] + " " + " ".join(v[6000 + 90 * k : 6050 + 90 * k]), "a") for k in range(6)]  # repeated passages
+    rows += [(200 + k, " | ".join(x.upper() + "!!" for x in v[7000 + 40 * k : 7040 + 40 * k]), "b") for k in range(20)]  # junk
+    labels = [(i, int(i < 200), 0) for i, _, _ in rows]
+    d, lab = docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    folder = f"file://{tmp_path}"
+    d.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    lab.write.parquet(f"{folder}/labels.parquet")
+
+    good = {r.doc_id for r in quality.score(d, lab).collect() if r.score >= 0.5}
+    left = [r for r in rows if r[0] in good]
+    assert 0 < len(left) < len(rows)
+    first = {i for i, _, _, g in brute_jaccard(left) if i == g}
+    assert len(first) < len(left)
+    left = [r for r in left if r[0] in first]
+    gone = {i: n for i, _, n, _ in brute_substring(left, 50)}
+    assert any(gone.values())
+    kept, seen = [], {}
+    for i, text, source in sorted(left):
+        w, out = text.split(), set()
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) < i:
+                out.update(range(k, k + 50))
+        assert len(out) == gone[i]
+        if len(out) < len(w):
+            kept.append((i, " ".join(x for k, x in enumerate(w) if k not in out) if out else text, source))
+
+    lib = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
+    digest = {i: hashlib.sha256(np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for i, t, _ in kept}
+    got = cp.run(spark, folder).collect()
+    assert {(r.doc_id, r.ids_sha256) for r in got} <= set(digest.items())
+    copies = Counter(r.doc_id for r in got)
+    by = {s: [(i, len(t.split())) for i, t, x in kept if x == s] for s in sorted({x for _, _, x in kept})}
+    sizes = [sum(n for _, n in x) for x in by.values()]
+    for members, size, target in zip(by.values(), sizes, capped(sizes, [1 + k % 3 for k in range(len(sizes))], 3), strict=True):
+        times = min(3, int(target // size))
+        lengths = sorted(Counter(n for _, n in members).items())
+        extra = mixing.fit([n for n, _ in lengths], [c for _, c in lengths], int(round(target - times * size)) if times < 3 else 0)
+        for (n, c), more in zip(lengths, extra, strict=True):
+            assert sorted(copies[i] for i, m in members if m == n) == [times] * (c - more) + [times + 1] * more
