@@ -1,19 +1,29 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped so that every block element is one line.  A line's weight is the
-length of its text outside links; lines of page furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) weigh nothing.  Weights are summed
-over sliding windows of lines.  The text *surges* where a window sum rises over a
-threshold and *dives* where the windows fall back to nothing.  Furniture is stripped like
-markup first.  Where the page marks its article, only lines in the largest marked element
-can weigh anything, marked elements inside it being parts of it, and the run with most
-text is kept.  Where it does not, every run is
-kept, and so is every line with weight in an element that holds lines of a run.
-
-Defined results: null or empty html, or a page without any text, gives the empty
-string.  Pages repeat or share ids freely; each row is judged alone.  Stray ``<``,
-unclosed tags and unknown entities are taken as browsers take them.  Columns other than
-``page_id``, ``url`` and ``html`` are ignored.
+Markup is stripped so that every block element is one line.  A line weighs as many characters as
+it has outside links.  Marks only take weight away: page furniture (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments) is stripped like markup, and where the page
+marks its article, lines outside of it weigh nothing, unless the marked element has less than a
+tenth of the page's text, as a teaser has.
+
+Weights are summed over sliding windows of ``WINDOW`` lines.  A window that weighs nothing is calm;
+calm windows cut the lines into stretches.  The text *surges* in a stretch where a window's sum
+reaches ``SURGE`` (or the page's greatest sum, if that is less) and *dives* at the calm window
+behind it.  Inside a marked article all lines between the first surge and the last dive are kept.
+On other pages every stretch that surges is kept without the weightless lines at its ends, and so
+are lines with weight that share a block with a kept line; what then stands outside the innermost
+element that holds nine tenths of the kept weight goes, but for headings right before it.
+
+Pages are read by one forward scan, whose time grows in proportion to the page whatever is left
+unclosed in it.
+
+Defined results: null or empty html, or a page without any text, gives the empty string; a page or
+article of nothing but links keeps an article's links and no others.  Very long pages are read
+whole, in memory of some times their length.  Of elements with equal weight the first is the
+article.  Pages repeat or share ids freely; each row is judged alone, ties between rows do not
+arise; an empty table gives no rows.  Stray ``<``, unclosed tags and comments and unknown entities
+are taken as browsers take them; a number reference of thousands of digits is U+FFFD.  Columns other
+than ``page_id``, ``url`` and ``html`` are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +37,15 @@ from pyspark.sql import DataFrame
 
 #: Lines in a window, and the window sum at which text surges.
 WINDOW, SURGE = 3, 60
+#: Share of the page's weight below which a marked article is none; share of kept weight that the text's element holds.
+TEASER, HOLDS = 0.1, 0.9
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Attributes up to what cannot be one: the tag's end, a quote that is not closed, or the page's end.
+_QUOTED = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+")
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_LONG_NUMBER = re.compile(r"&#\d{4000,};?")
 
 # Element names of HTML by their part in a page.
 RAW = frozenset("script style textarea title noscript iframe noembed xmp".split())
@@ -54,7 +64,6 @@ HINTS = frozenset(
 ROLES = HINTS | {"complementary", "contentinfo", "dialog"}
 #: Whole class names that mark furniture inside an article though their words alone do not.
 WHOLE = HINTS | frozenset("comments-area comments-section comment-section comment-list comment-body comment-form share-buttons social-share related-posts related-articles ad-slot ad-container newsletter-signup cookie-notice cookie-banner post-navigation".split())
-MAIN_HINTS = frozenset("article articlebody main content post entry story".split())
 
 
 def _hints(attrs: str, name: str, inside: bool) -> tuple[bool, bool]:
@@ -93,31 +102,68 @@ def _hints(attrs: str, name: str, inside: bool) -> tuple[bool, bool]:
     return bad, good
 
 
-class _Line:
-    __slots__ = ("furniture", "linked", "main", "parts", "place")
+class Line:
+    """A block's text, its characters in links, whether it is furniture or a heading, and the numbers of its article and its block."""
 
-    def __init__(self, furniture: bool, main: int, place: tuple[int, int]):
+    __slots__ = ("article", "block", "furniture", "heading", "linked", "parts", "said")
+
+    def __init__(self, furniture: bool, article: int, block: int, heading: bool):
         self.parts: list[str] = []
-        self.linked = 0
-        self.furniture, self.main, self.place = furniture, main, place
+        self.said, self.linked = "", 0
+        self.furniture, self.article, self.block, self.heading = furniture, article, block, heading
+
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, name, whether closing, attributes of every tag; comments and the like have no name.
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
-    """The page's lines in order: text, characters in links, whether furniture, number of the article it is in (0: none), numbers of its block and the block around it."""
-    out: list[_Line] = []
-    now = _Line(False, 0, (0, 0))
-    #: open elements: name, whether furniture starts here, article number, element's number
+    Where a quote is not closed, a tag ends at the next ``>`` all the same.  ``unclosed`` is the place up
+    to which tags are known to run into such a quote, so that it is looked for once.
+    """
+    at, n, unclosed = page.find("<"), len(page), -1
+    while at >= 0:
+        begin = at + 1
+        closing = page.startswith("/", begin)
+        m = _NAME.match(page, begin + closing)
+        if m:
+            end = _QUOTED.match(page, m.end()).end() if at >= unclosed else -1
+            if end < 0 or end == n or page[end] != ">":
+                unclosed = max(unclosed, end)
+                end = page.find(">", m.end())
+            name, attrs = m[0].lower(), page[m.end() : end] if end >= 0 else ""
+        elif page.startswith("!--", begin):
+            # "<!-->" and "<!--->" are whole comments
+            end = page.find(">", begin + 3) if page.startswith((">", "->"), begin + 3) else page.find("-->", begin + 3)
+            end, name, attrs = end + 2 if page.startswith("-->", end) and end > begin + 2 else end, "", ""
+        elif closing or page.startswith(("!", "?"), begin):
+            end, name, attrs = page.find(">", begin), "", ""
+        else:
+            at = page.find("<", begin)
+            continue
+        if end < 0:
+            end = n - 1  # what is not closed reaches to the end
+            name = ""
+        skip = yield at, end + 1, name, closing, attrs
+        at = page.find("<", max(end + 1, skip or 0))
+
+
+def lines_of(page: str) -> tuple[list[Line], list[int]]:
+    """The page's lines in order, and of each block the number of the one around it (block 0 is the page)."""
+    out: list[Line] = []
+    now = Line(False, 0, 0, False)
+    #: open elements: name, whether furniture starts here, article and block before it
     stack: list[tuple[str, bool, int, int]] = []
-    bad = links = elements = 0
-    articles, article = 0, 0
-    at, n = 0, len(page)
+    around = [0]
+    #: how many elements of a name are open: all, and formatting since the last open block
+    open_names: dict[str, int] = {}
+    inline: list[dict[str, int]] = [{}]
+    bad = boxes = links = articles = article = block = heads = 0
+    removed: dict[str, re.Pattern] = {}
 
     def fresh() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        blocks = (x[3] for x in reversed(stack) if x[0] not in INLINE)
-        now = _Line(bad > 0, article, (next(blocks, 0), next(blocks, 0)))
+        now = Line(bad > 0, article, block, heads > 0)
 
     def text(s: str) -> None:
         if s and now.furniture and not bad:
@@ -128,42 +174,51 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
             if links:
                 now.linked += len(s)
 
-    def pop() -> str:
-        nonlocal bad, links, article
-        name, was_bad, was, _ = stack.pop()
+    def boxed(name: str, furniture: bool) -> bool:
+        return furniture and (name in FURNITURE or name in ("header", "div"))
+
+    def pop() -> None:
+        nonlocal bad, boxes, links, article, block, heads
+        name, was_bad, was, block = stack.pop()
         bad -= was_bad
+        boxes -= boxed(name, was_bad)
         links -= name == "a"
+        heads -= name in HEADINGS
+        open_names[name] -= 1
         article = was
-        return name
+        if name in INLINE:
+            inline[-1][name] -= 1
+        else:
+            inline.pop()
 
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+    at, reader, skip = 0, tags(page), None
+    while True:
+        try:
+            begin, end, name, closing, attrs = reader.send(skip)
+        except StopIteration:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        skip = None
+        text(page[at:begin])
+        at = end
         if not name:
             continue
-        closing, attrs = m[1] or m[4] or "", m[3] or m[6] or ""
         if closing:
             if name not in INLINE:
                 fresh()
             # an end tag closes its element and what is open inside; a formatting tag reaches no further than its block
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            if (inline[-1] if name in INLINE else open_names).get(name, 0):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             if name not in INLINE:
                 fresh()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if name not in removed:
+                removed[name] = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+            over = removed[name].search(page, at)
+            at = skip = (over and page.find(">", over.end()) + 1) or len(page)
             if name not in INLINE:
                 fresh()
             continue
@@ -175,98 +230,141 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, tuple[int, int]]]:
             # a block ends open paragraphs and formatting; list items and cells end their kind
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
                 pop()
-            if name in ("article", "main", "body"):
-                # furniture left open does not swallow the article
-                while bad and any(x[1] and x[0] in FURNITURE | {"header", "div"} for x in stack) and name != "article":
+            # furniture left open does not swallow the article
+            while boxes and name in ("main", "body"):
+                pop()
+            if name == "article" and bad and bad == open_names.get("nav", 0) + open_names.get("header", 0) + open_names.get("head", 0):
+                while bad:
                     pop()
-                if name == "article" and bad and not any(x[1] for x in stack if x[0] not in ("nav", "header", "head")):
-                    while bad:
-                        pop()
         furniture, main = _hints(attrs, name, article > 0) if attrs.strip(" /") else (False, False)
         if name in ("html", "body", "main", "article") and not (name == "article" and furniture and re.search(r"comment|teaser|related|promo|sponsor", attrs, re.I)):
             furniture = False
         furniture |= name in FURNITURE or name == "header" and not article
         if furniture and attrs.rstrip().endswith("/") and name not in ("div", "section"):
             continue
-        elements += 1
-        stack.append((name, furniture, article, elements))
+        stack.append((name, furniture, article, block))
+        open_names[name] = open_names.get(name, 0) + 1
         bad += furniture
+        boxes += boxed(name, furniture)
         links += name == "a"
+        heads += name in HEADINGS
         if (name in ("article", "main") or main) and not bad and not article:
             articles += 1
             article = articles
-        if name not in INLINE:
+        if name in INLINE:
+            inline[-1][name] = inline[-1].get(name, 0) + 1
+        else:
+            inline.append({})
+            around.append(block)
+            block = len(around) - 1
             fresh()
     fresh()
     done = []
     for x in out:
-        said = " ".join(_html.unescape("".join(x.parts)).split())
-        if said:
-            done.append((said, min(x.linked, len(said)), x.furniture, x.main, x.place))
-    return done
+        x.said = " ".join(_html.unescape(_LONG_NUMBER.sub("�", "".join(x.parts))).split())
+        if x.said:
+            x.linked = min(x.linked, len(x.said))
+            done.append(x)
+    return done, around
 
 
-def surges(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """First and last-plus-one line of each run of text.
-
-    ``sums[i]`` adds ``window`` lines from i.  A run begins at the first line with weight of a
-    window whose sum reaches ``surge`` after one that did not, and ends where the sums dive to 0.
-    """
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First and last-plus-one line of each stretch between calm windows in which the text surges."""
     n = len(weights)
-    if not n:
+    width = min(window, n)
+    sums, total = [], sum(weights[:width])
+    for i in range(n - width + 1 if n else 0):
+        sums.append(total)
+        if i + width < n:
+            total += weights[i + width] - weights[i]
+    level = min(surge, max(sums, default=0))
+    if level <= 0:
         return []
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    most = max(sums)
-    level = min(surge, most)
-    if most == 0:
-        return []
-    found, i = [], 0
-    while i < n:
-        if sums[i] < level:
-            i += 1
-            continue
-        begin = i
-        while begin > 0 and weights[begin - 1] > 0:
-            begin -= 1
-        while weights[begin] == 0:
-            begin += 1
-        end = i
-        while end < n and sums[end] > 0:
-            end += 1
-        stop = end
-        while stop > begin and weights[stop - 1] == 0:
-            stop -= 1
-        found.append((begin, stop))
-        i = max(end, i + 1)
+    calm = [0] * (n + 1)
+    for i, s in enumerate(sums):
+        if s == 0:
+            calm[i] += 1
+            calm[i + width] -= 1
+    found, begin, depth, high = [], None, 0, False
+    for i in range(n + 1):
+        depth += calm[i]
+        if i == n or depth:
+            if begin is not None and high:
+                found.append((begin, i))
+            begin, high = None, False
+        else:
+            if begin is None:
+                begin = i
+            # the windows that hold line i
+            high |= weights[i] > 0 and any(s >= level for s in sums[max(0, i - width + 1) : i + 1])
     return found
 
 
+def trimmed(weights: list[int], begin: int, end: int) -> tuple[int, int]:
+    """The stretch without the weightless lines at its ends."""
+    while begin < end and not weights[begin]:
+        begin += 1
+    while end > begin and not weights[end - 1]:
+        end -= 1
+    return begin, end
+
+
 def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """The run of text with most weight (0, 0: none)."""
-    return max(surges(weights, window, surge), key=lambda x: sum(weights[x[0] : x[1]]), default=(0, 0))
+    """The stretch of text with most weight (0, 0: none)."""
+    found = [trimmed(weights, *x) for x in stretches(weights, window, surge)]
+    return max(found, key=lambda x: sum(weights[x[0] : x[1]]), default=(0, 0))
+
+
+def _weight(line: Line) -> int:
+    """Characters outside links, none if most are in links."""
+    return 0 if 2 * line.linked > len(line.said) else len(line.said) - line.linked
+
+
+def _in_element(lines: list[Line], weights: list[int], around: list[int], holds: float) -> list[bool]:
+    """Which lines stand in the innermost element with the given share of the weight, or are headings right before it."""
+    inside = [0] * len(around)
+    for x, w in zip(lines, weights, strict=True):
+        inside[x.block] += w
+    for k in range(len(around) - 1, 0, -1):
+        inside[around[k]] += inside[k]
+    home = max(k for k in range(len(around)) if inside[k] >= holds * inside[0])
+    under = [False] * len(around)
+    for k in range(len(around)):
+        under[k] = k == home or (k > 0 and under[around[k]])
+    keep = [under[x.block] for x in lines]
+    for i in range(len(lines) - 2, -1, -1):
+        keep[i] |= keep[i + 1] and lines[i].heading
+    return keep
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text; its blocks joined by one space."""
     if not page:
         return ""
-    lines = lines_of(page)
+    lines, around = lines_of(page)
+    lines = [x for x in lines if not x.furniture]
+    weights = [_weight(x) for x in lines]
     by_article: dict[int, int] = {}
-    for said, linked, furniture, main, _ in lines:
-        if main and not furniture:
-            by_article[main] = by_article.get(main, 0) + len(said) - linked + 1
-    chosen = max(by_article, key=lambda k: (by_article[k], -k), default=0)
-    # furniture is stripped like markup
-    lines = [x for x in lines if not x[2]]
-    if chosen:
-        # outside the article nothing weighs anything
-        weights = [surge + len(said) if main == chosen else 0 for said, _, _, main, _ in lines]
-        begin, end = surge_and_dive(weights, window, surge)
-        return " ".join(x[0] for x in lines[begin:end])
-    weights = [0 if 2 * linked > len(said) else len(said) - linked for said, linked, *_ in lines]
-    kept = {i for run in surges(weights, window, surge) for i in range(*run)}
-    homes = {lines[i][4][1] for i in kept if weights[i]}
-    return " ".join(x[0] for i, x in enumerate(lines) if i in kept or weights[i] and not homes.isdisjoint(x[4]))
+    for x, w in zip(lines, weights, strict=True):
+        if x.article:
+            by_article[x.article] = by_article.get(x.article, 0) + w
+    marked = max(by_article, key=lambda k: (by_article[k], -k), default=0)
+    if marked and by_article[marked] >= TEASER * sum(weights):
+        lines = [x for x in lines if x.article == marked]
+        # in an article, a title that is a link is text, and so is everything if all of it is links
+        bare = not by_article[marked]
+        found = stretches([len(x.said) if bare or x.heading else len(x.said) - x.linked for x in lines], window, surge)
+        return " ".join(x.said for x in lines[found[0][0] : found[-1][1]]) if found else ""
+    found = [trimmed(weights, *x) for x in stretches(weights, window, surge)]
+    kept = {i for begin, end in found for i in range(begin, end)}
+    # a line shares a block with a kept one if it stands in the same block, or its block in that or the same one
+    homes = {b for i in kept if weights[i] for b in (around[lines[i].block],)}
+    kept |= {i for i, x in enumerate(lines) if weights[i] and (x.block in homes or around[x.block] in homes)}
+    some = sorted(kept)
+    if not some:
+        return ""
+    keep = _in_element([lines[i] for i in some], [weights[i] for i in some], around, HOLDS)
+    return " ".join(lines[i].said for i, k in zip(some, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
