@@ -4,6 +4,8 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,8 +247,7 @@ def test_jaccard_join(spark):
 
 
 def test_jaccard_blocks_meet_in_pairs(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 6)
-    monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
     rows = near_rows()
     got = jaccard.join(docs(spark, rows)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_jaccard(rows)))
@@ -261,6 +262,78 @@ def test_one_of_each(spark):
     assert jaccard.join(docs(spark, [])).count() == 0
 
 
+def chain(n, length=60, step=8):
+    """Texts of which each overlaps the next ones: one component, and only neighbours are alike."""
+    v = vocabulary(n * step + length, 9)
+    return [(k, " ".join(v[k * step : k * step + length]), "a") for k in range(n)]
+
+
+def test_only_pairs_that_pruning_leaves_are_verified(spark):
+    rows = chain(5000, step=4) + near_rows()[12:52]
+    table = pa.table({"doc_id": [r[0] + 100_000 * (r[2] == "b") for r in rows], "text": [r[1] for r in rows]})
+    d = spark.createDataFrame(table.to_pandas()).repartition(7)
+    s = jaccard._signatures(d, 5).collect()
+    sig = np.stack([np.frombuffer(r.sig, np.uint8) for r in s])
+    shared = {}
+    for k, r in enumerate(s):
+        for key in r.bands:
+            shared.setdefault(key, []).append(k)
+    met = np.array(sorted({(a, b) for x in shared.values() for a in x for b in x if a < b}))
+    need = jaccard.least_matches(0.8, 1e-6, 175, 25)
+    same = np.cumsum(sig[met[:, 0]] == sig[met[:, 1]], axis=1)[:, 24::25]
+    left = met[(same >= np.array(need)).all(axis=1)]
+    want = sorted(tuple(sorted((s[a].doc_id, s[b].doc_id))) for a, b in left.tolist())
+    reps = spark.createDataFrame(s).withColumnRenamed("doc_id", "id").select("id", "c1", "size", "sig", "bands")
+    blocks = {}
+    for r in jaccard.left_pairs(reps).collect():
+        blocks.setdefault((r["key"], r["_p"], r["_q"]), []).append((r["place"], r["id"], r["with"]))
+    got, shipped = [], 0
+    for x in blocks.values():
+        x.sort()
+        assert [p for p, *_ in x] == list(range(len(x)))
+        shipped += len(x)
+        i, j = jaccard.partners([bytes(w) for *_, w in x])
+        got += [tuple(sorted((x[a][1], x[b][1]))) for a, b in zip(i.tolist(), j.tolist())]
+    assert len(want) > 4000 and sorted(got) == want  # each once
+    assert shipped <= 2 * len(want)  # sets go where they have a partner, not to all of their component
+    links = {r.doc_id: r.n_links for r in jaccard.join(d.filter("doc_id < 300")).collect()}
+    true = Counter()
+    for k in range(300):
+        for m in range(k + 1, min(k + 4, 300)):
+            a, b = (set(zip(*(rows[x][1].split()[e:] for e in range(5)))) for x in (k, m))
+            if 5 * len(a & b) >= 4 * len(a | b):
+                true[k] += 1
+                true[m] += 1
+    assert links == {k: true[k] for k in range(300)}
+
+
+@pytest.mark.parametrize("n", [1, 7, 64, 700])
+def test_partner_lists_come_back(n):
+    rng = np.random.Generator(np.random.PCG64(n))
+    for share in (0, 0.01, 0.3, 1):
+        i, j = np.nonzero(np.triu(rng.uniform(size=(n, n)) < share, 1))
+        a, b = jaccard.partners(jaccard._partners(n, i, j))
+        assert list(zip(a.tolist(), b.tolist())) == list(zip(i.tolist(), j.tolist()))
+
+
+def test_intersections_by_marks_and_by_products():
+    rng = np.random.Generator(np.random.PCG64(2))
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(30)]
+    i, j = np.triu_indices(30, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert jaccard.intersections(sets, i, j).tolist() == want
+    some = np.array([400, 3, 77, 3, 200])
+    assert jaccard.intersections(sets, i[some], j[some]).tolist() == [want[k] for k in some]
+
+
+def test_join_of_very_long_texts_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHINGLES", 50_000)
+    long = " ".join(vocabulary(120_000, 4))
+    rows = [(5, long, "a"), (6, long + " more", "a"), (7, long, "b"), (8, "x " + long, "a"), (9, "some other words", "a"), (9, long + " again", "a"), (None, long, "a"), (None, long, "a"), (None, None, None)]
+    got = {(r.doc_id, r.class_id, r.n_links, r.group_id) for r in jaccard.join(docs(spark, rows)).collect() if r.doc_id != 9}
+    assert got == {(5, 5, 3, 5), (6, 6, 3, 5), (7, 5, 3, 5), (8, 8, 3, 5), (None, None, 0, None)}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = jaccard.least_matches(0.8, 1e-6, 175, 25)
     assert list(need) == sorted(need) and need[-1] < 175 * 0.8

@@ -5,16 +5,24 @@ smallest id is compared.  Banded MinHash proposes pairs (a pair at the threshold
 probability below 1e-6).  Within a bucket, MinHash values are compared a few at a time; after m
 agreements out of n, the posterior probability that the pair reaches the threshold is, under a
 uniform prior, the chance of at most m successes in n + 1 draws at the threshold's rate; pairs for
-which it falls below ``TOLERANCE`` are dropped.  What is left is verified exactly on the shingle sets.
-
-Scale: buckets and clusters of any size are cut into blocks that meet two at a time, so no group is
-gathered in one task; what a task emits is linear in the documents it reads (counts and stars, not
-pairs).  Sets are read again only for documents that have a candidate.
+which it falls below ``TOLERANCE`` are dropped.  Each pair that is left is verified once, exactly, on
+the shingle sets, in the first bucket that its documents share (32-bit prints of the earlier bands
+tell; by a collision of prints a pair is lost with probability below 1e-8).
+
+Scale: a bucket of any size is cut into blocks, by documents and by shingles, that meet two at a
+time, so no group is gathered in one task.  Of a pair of blocks go on: each document with a partner
+left, once, with its partners' places among these documents (a list, or a bitmap if that is
+shorter); from the verification: each document once, with its count of links and the smallest
+document that it is connected with.  Sets are made and shipped only for documents with a partner
+left.  Links inside a dense group of different texts are as many as the square of its size, and are
+counted in as many pairs of blocks.
 
 Defined results: a text of fewer than ``width`` words has one shingle, all of it; a null text or one
 without words is in no class but its own and has no links; a row with a null id has null class and
-group and no links.  Rows that repeat an id share its class, links and group.  Columns other than
-doc_id and text are ignored.
+group and no links.  Rows that repeat an id share its class, links and group, and are no links of each
+other.  A similarity that equals the threshold is a link; of a class or group the smallest id names
+it, so no ties are left.  Texts of any length are read whole; one very long set is a block of its own.
+An empty table gives no rows.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +44,8 @@ from .words import Words, as_long, cut, mix, slices
 WIDTH, THRESHOLD = 5, 0.8
 #: Bands and rows of a band; values compared at a time; posterior below which a pair is dropped.
 BANDS, ROWS, STEP, TOLERANCE = 35, 5, 25, 1e-6
-#: Documents of a block, in buckets and in clusters.
-BUCKET_BLOCK, CLUSTER_BLOCK = 512, 256
+#: Documents and shingles of a block at most (one document may have more shingles).
+BLOCK, SHINGLES = 512, 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(11))
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -183,84 +191,133 @@ def _first_of(ids: np.ndarray) -> np.ndarray:
     return np.unique(ids, return_index=True)[1]
 
 
-def _edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b = stars(ids, i, j)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _distinct(t: pa.Table) -> pa.Table:
+    """The rows without those that repeat a text and its id."""
+    both = t.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ t.column("c1").to_numpy().view(np.uint64)
+    at = _first_of(both)
+    return t if len(at) == t.num_rows else t.take(pa.array(at))
+
+
+def _partners(n: int, i: np.ndarray, j: np.ndarray) -> list[bytes]:
+    """Of each of n places, its partners: 16-bit numbers, or a bitmap of n bits if that is shorter."""
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order].astype("<u2")
+    cuts = np.searchsorted(i, np.arange(n + 1))
+    out, size = [], (n + 7) // 8
+    for k in range(n):
+        mine = j[cuts[k] : cuts[k + 1]]
+        if len(mine) * 2 >= size:
+            bits = np.zeros(size * 8, dtype=np.uint8)
+            bits[mine] = 1
+            out.append(b"b" + np.packbits(bits).tobytes())
+        else:
+            out.append(b"l" + mine.tobytes())
+    return out
+
+
+def partners(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_partners`` wrote, as pairs of places."""
+    i, j = [], []
+    for k, raw in enumerate(rows):
+        mine = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1))) if raw[:1] == b"b" else np.frombuffer(raw, "<u2", offset=1).astype(np.int64)
+        i.append(np.full(len(mine), k))
+        j.append(mine)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *i]), np.concatenate([none, *j])
 
 
 def bucket_pairs(threshold: float, tolerance: float) -> Callable:
+    """Documents of a block, or of two, with the partners that pruning leaves them and no earlier bucket has."""
+
     def fn(x: pa.Table, y: pa.Table | None) -> pa.RecordBatch | None:
-        ids = x.column("id").to_numpy()
+        x, y = _distinct(x), None if y is None else _distinct(y)
+        if y is None and x.num_rows < 2:
+            return None
         sig = _bytes_matrix(x, "sig")
-        at = _first_of(ids)
-        ids, sig = ids[at], sig[at]
+        i, j = surviving(sig, sig if y is None else _bytes_matrix(y, "sig"), threshold, tolerance)
         if y is None:
-            if len(ids) < 2:
-                return None
-            i, j = surviving(sig, sig, threshold, tolerance)
-            return _edges(ids, i[i < j], j[i < j])
-        other, sig2 = y.column("id").to_numpy(), _bytes_matrix(y, "sig")
-        i, j = surviving(sig, sig2, threshold, tolerance)
-        return _edges(np.concatenate([ids, other]), i, j + len(ids))
+            keep = i < j
+            i, j, both = i[keep], j[keep], x
+        else:
+            j, both = j + x.num_rows, pa.concat_tables([x, y])
+        prints = both.column("prints").combine_chunks().flatten().to_numpy().reshape(both.num_rows, -1)
+        ids = both.column("id").to_numpy()
+        keep = ids[i] != ids[j]
+        for lo in range(0, len(i), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            keep[part] &= ~(prints[i[part]] == prints[j[part]]).any(axis=1)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            return None
+        here = np.unique(np.concatenate([i, j]))
+        some = both.take(pa.array(here))
+        rows = _partners(len(here), np.searchsorted(here, i), np.searchsorted(here, j))
+        columns = [some.column(c).combine_chunks() for c in ("key", "_p", "_q")]
+        place = pa.array(np.arange(len(here), dtype=np.int32))
+        return pa.RecordBatch.from_arrays([*columns, place, some.column("id").combine_chunks(), some.column("c1").combine_chunks(), pa.array(rows, pa.binary())], ["key", "_p", "_q", "place", "id", "c1", "with"])
 
     return fn
 
 
-def intersections(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """Sizes of the intersections of the first n sets with the others (with all, if there are no others)."""
+def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (i, j) of sets."""
     flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = counts[inverse] > 1
+    names, inverse = np.unique(flat, return_inverse=True)
+    counts = np.bincount(inverse, minlength=len(names))
+    shared = counts[inverse] > 1  # what only one set has is in no intersection
     of, inverse = of[shared], inverse[shared]
+    if len(i) * 8 < len(sets) ** 2:
+        # few pairs: mark the shingles of one side and count the marked ones of its partners
+        cuts = np.searchsorted(of, np.arange(len(sets) + 1))
+        order = np.argsort(i, kind="stable")
+        out, marked = np.zeros(len(i), dtype=np.int64), np.zeros(len(names), dtype=bool)
+        for run in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+            a = i[run[0]] if len(run) else 0
+            mine = inverse[cuts[a] : cuts[a + 1]]
+            marked[mine] = True
+            for k in run:
+                out[k] = np.count_nonzero(marked[inverse[cuts[j[k]] : cuts[j[k] + 1]]])
+            marked[mine] = False
+        return out
     names = np.unique(inverse)
     inverse = np.searchsorted(names, inverse)
     order = np.argsort(inverse, kind="stable")
     of, inverse = of[order], inverse[order]
-    total = np.zeros((n, len(sets) - n or n), dtype=np.int64)
+    total = np.zeros((len(sets), len(sets)), dtype=np.int64)
     for lo in range(0, len(names), 4096):
         a, b = np.searchsorted(inverse, (lo, lo + 4096))
         m = np.zeros((len(sets), min(4096, len(names) - lo)), dtype=np.float32)
         m[of[a:b], inverse[a:b] - lo] = 1
-        total += (m[:n] @ (m[n:] if n < len(sets) else m).T).astype(np.int64)
-    return total
+        total += (m @ m.T).astype(np.int64)
+    return total[i, j]
 
 
-def cluster_links(threshold: float) -> Callable:
+def _verified(rows: DataFrame, threshold: float) -> DataFrame:
+    """(key, _p, _q, place, id, with, sh) -> id, links, root: the pairs of each block pair that reach the threshold."""
     t = Fraction(threshold).limit_denominator(1000)
+    met = rows.repartition("key", "_p", "_q").sortWithinPartitions("key", "_p", "_q", "place")
 
-    def fn(x: pa.Table, y: pa.Table | None) -> pa.RecordBatch | None:
-        def read(z: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-            ids = z.column("id").to_numpy()
-            at = _first_of(ids)
-            raw = z.column("sh").take(pa.array(at)).to_pylist()
-            return ids[at], [np.frombuffer(r, np.uint64) for r in raw]
-
-        ids, sets = read(x)
-        n = len(ids)
-        if y is not None:
-            ids2, sets2 = read(y)
-            ids, sets = np.concatenate([ids, ids2]), sets + sets2
-        elif n < 2:
-            return None
-        both = intersections(sets, n)
-        size = np.array([len(s) for s in sets])
-        joint = size[:n, None] + (size[n:] if y is not None else size)[None, :]
-        # inter / (joint - inter) >= t, in integers
-        linked = both * (t.denominator + t.numerator) >= t.numerator * joint
-        if y is None:
-            np.fill_diagonal(linked, False)
-            links = linked.sum(axis=1)
-            i, j = np.nonzero(np.triu(linked))
-        else:
-            links = np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
-            i, j = np.nonzero(linked)
-            j = j + n
-        a, b = stars(ids, i, j)
-        root = dict(zip(a.tolist(), b.tolist(), strict=True))
-        has = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(links[has].astype(np.int64)), pa.array([root.get(k, k) for k in ids[has].tolist()], pa.int64())], ["id", "links", "root"])
-
-    return fn
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_groups(batches, ["key", "_p", "_q"]):
+            # rows that repeat an id and a text stand more than once
+            g = g.take(pa.array(_first_of(g.column("place").to_numpy())))
+            if g.num_rows != g.column("place")[-1].as_py() + 1:
+                raise RuntimeError("a document's text has changed since its signature was made")
+            ids, sets = g.column("id").to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column("sh").to_pylist()]
+            i, j = partners(g.column("with").to_pylist())
+            both = intersections(sets, i, j)
+            size = np.array([len(s) for s in sets])
+            # inter / (joint - inter) >= t, in integers
+            linked = both * (t.denominator + t.numerator) >= t.numerator * (size[i] + size[j])
+            i, j = i[linked], j[linked]
+            if not len(i):
+                continue
+            links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            root = dict(zip(*(x.tolist() for x in stars(ids, i, j)), strict=True))
+            has = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(links[has].astype(np.int64)), pa.array([root.get(k, k) for k in ids[has].tolist()], pa.int64())], ["id", "links", "root"])
+
+    return met.mapInArrow(run, "id bigint, links bigint, root bigint")
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -269,35 +326,64 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
             w = Words(b.column("text"))
             h = w.hashes()
             c1, c2 = w.texts(h)
-            d, m = minhashes(*shingles(w, h, width))
+            s, d = shingles(w, h, width)
+            n = np.bincount(d, minlength=w.n_docs)
+            d, m = minhashes(s, d)
+            # a bucket's key ends in its band's number
             bands = np.empty((len(d), BANDS), dtype=np.uint64)
             for k in range(BANDS):
-                bands[:, k] = mix((m[:, k * ROWS : (k + 1) * ROWS].astype(np.uint64) * _MIXER).sum(axis=1, dtype=np.uint64), k)
+                key = mix((m[:, k * ROWS : (k + 1) * ROWS].astype(np.uint64) * _MIXER).sum(axis=1, dtype=np.uint64), k)
+                bands[:, k] = key & ~np.uint64(63) | np.uint64(k)
             low = (m & np.uint32(255)).astype(np.uint8)
             ends = pa.array((np.arange(len(d) + 1) * BANDS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(d)), as_long(c1[d]), as_long(c2[d]), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(ends, as_long(bands.ravel()))], ["doc_id", "c1", "c2", "sig", "bands"]
+                [b.column("doc_id").take(pa.array(d)), as_long(c1[d]), as_long(c2[d]), pa.array(n[d]), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(ends, as_long(bands.ravel()))],
+                ["doc_id", "c1", "c2", "size", "sig", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, c1 bigint, c2 bigint, sig binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, c1 bigint, c2 bigint, size bigint, sig binary, bands array<bigint>")
+
+
+def _members(reps: DataFrame, shared: DataFrame) -> DataFrame:
+    """Each document under every bucket that it shares, with its signature and prints of its earlier bands."""
+    each = reps.select("id", "c1", F.posexplode("bands").alias("band", "key")).join(shared, "key")
+    prints = F.transform(F.slice("bands", F.lit(1), F.col("band")), lambda x: F.shiftright(x, 32).cast("int"))
+    met = each.join(reps.select("id", "c1", "sig", "bands"), ["id", "c1"])
+    return met.select("key", "nb", F.pmod(F.xxhash64("id", "c1"), F.col("nb")).cast("int").alias("blk"), "id", "c1", "sig", prints.alias("prints"))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(component, nb, doc_id, text) -> the same with the set of shingle hashes."""
+    """(key, _p, _q, place, id, c1, with, text) -> the same with the set of shingle hashes, for rows whose text is the one meant."""
+    passed = ["key", "_p", "_q", "place", "id", "with"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            w = Words(b.column("text"))
-            s, d = shingles(w, w.hashes(), width)
+            # rows of a document stand together: its words are cut once
+            ids, c1 = b.column("id").to_numpy(), b.column("c1").to_numpy()
+            texts = b.column("text")
+            new = np.ones(b.num_rows, dtype=bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (c1[1:] != c1[:-1]) | ~np.asarray(pa.compute.equal(texts.slice(1), texts.slice(0, b.num_rows - 1)))
+            first = np.flatnonzero(new)
+            w = Words(texts.take(pa.array(first)))
+            h = w.hashes()
+            s, d = shingles(w, h, width)
             cuts = np.searchsorted(d, np.arange(w.n_docs + 1))
-            sets = [np.unique(s[cuts[i] : cuts[i + 1]]).tobytes() for i in range(w.n_docs)]
-            yield pa.RecordBatch.from_arrays([b.column("component"), b.column("nb"), b.column("blk"), b.column("doc_id"), pa.array(sets, pa.binary())], ["component", "nb", "blk", "id", "sh"])
+            sets = [np.unique(s[cuts[k] : cuts[k + 1]]).tobytes() for k in range(w.n_docs)]
+            of = np.cumsum(new) - 1
+            meant = pa.array(w.texts(h)[0].view(np.int64)[of] == c1)
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), pa.array([sets[k] for k in of], pa.binary())], [*passed, "sh"])
+            yield out.filter(meant)
 
-    return docs.mapInArrow(run, "component bigint, nb int, blk int, id bigint, sh binary")
+    return docs.mapInArrow(run, "key bigint, _p int, _q int, place int, id bigint, with binary, sh binary")
 
 
-def _blocks(counted, size: int):
-    return F.ceil(F.col(counted) / size).cast("int")
+def left_pairs(reps: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The pairs that pruning leaves, as documents of block pairs: key, _p, _q, place, id, c1, with (see ``partners``)."""
+    keys = reps.select("id", "c1", "size", F.explode("bands").alias("key"))
+    # buckets with two texts or more; blocks by documents and by shingles
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("size") / SHINGLES))).cast("int")
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key", blocks.alias("nb")))
+    return in_blocks(_members(reps, shared), "key", bucket_pairs(threshold, tolerance), "key bigint, _p int, _q int, place int, id bigint, c1 bigint, with binary")
 
 
 def join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tolerance: float = TOLERANCE) -> DataFrame:
@@ -307,17 +393,10 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
     known = docs.filter("doc_id is not null and text is not null")
     s = cut(_signatures(known, width))
     owners = cut(s.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")))
-    reps = cut(s.withColumnRenamed("doc_id", "id").join(owners, ["c1", "c2", "id"]).select("id", "sig", "bands"))
-    # candidates: buckets with two texts or more
-    each = reps.select("id", F.explode("bands").alias("key"))
-    shared = cut(each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key", _blocks("n", BUCKET_BLOCK).alias("nb")))
-    members = each.join(shared, "key").join(reps.select("id", "sig"), "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    near = components(in_blocks(members.select("key", "nb", "blk", "id", "sig"), "key", bucket_pairs(threshold, tolerance), "a bigint, b bigint"))
-    near = cut(near)
-    size = cut(near.groupBy("component").agg(F.count("*").alias("n")).select("component", _blocks("n", CLUSTER_BLOCK).alias("nb")))
-    placed = near.join(size, "component").select("component", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk"), F.col("id").alias("doc_id"))
-    sets = _sets(known.join(placed, "doc_id").select("component", "nb", "blk", "doc_id", "text"), width)
-    found = cut(in_blocks(sets, "component", cluster_links(threshold), "id bigint, links bigint, root bigint"))
+    reps = cut(s.withColumnRenamed("doc_id", "id").join(owners, ["c1", "c2", "id"]).select("id", "c1", "size", "sig", "bands"))
+    left = cut(left_pairs(reps, threshold, tolerance))
+    texts = known.withColumnRenamed("doc_id", "id").join(left, "id").select("key", "_p", "_q", "place", "id", "c1", "with", "text")
+    found = cut(_verified(_sets(texts, width), threshold))
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     of_class = owners.join(links, "id", "left").join(groups, "id", "left")

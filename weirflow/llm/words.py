@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -208,17 +209,54 @@ def cut(df):
 
             top = os.path.join(tempfile.gettempdir(), "weirflow-checkpoints")  # only where the setting is absent, as in tests
         spark.sparkContext.setCheckpointDir(top)
+    with files_removed(spark):
+        out = df.select("*").checkpoint(True)  # a new plan, which takes the setting up
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+@contextmanager
+def files_removed(spark) -> Iterator[None]:
+    """Within it, a query's shuffle files go when it ends."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        out = df.select("*").checkpoint(True)  # a new plan, which takes the setting up
+        yield
     finally:
         spark.conf.set(key, before)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+
+
+class Tables:
+    """Written tables of a loop, in the shared folder.
+
+    A checkpoint hands on its plan's partitioning and constraints, which double with every round of a
+    loop; a table that is read again has neither.
+    """
+
+    def __init__(self, spark, name: str):
+        self.spark, self.folder, self.n = spark, shared_folder(spark, name), 0
+
+    def put(self, df):
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        with files_removed(self.spark):
+            df.select("*").write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, first: int, last: int) -> None:
+        """Removes the tables numbered from first to before last."""
+        for k in range(first, last):
+            self._delete(f"{self.folder}/{k}")
+
+    def close(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def sum_vectors(parts, spread: int = 32):
