@@ -7,8 +7,13 @@ t are *compatible*: merging their joint string gives just the two.  One left-to-
 the last token of each prefix; back-pointers from the end emit the ids.  Time is linear in the
 word's length, whatever the order of merges.
 
+Normal forms, lower case and the splitting of what is not Latin-1 come from the tokenizers library;
+the ids of each word come from the method above.
+
 Defined results: a null or empty text has no ids and decodes to the empty string; texts of any
-length are read whole, word by word; repeated rows are encoded each by itself.
+length are read whole, word by word; repeated rows are encoded each by itself; of overlapping added
+tokens the longest that starts first counts; an empty table gives no rows.  Columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ import hashlib
 import json
 import re
 import sys
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +37,7 @@ KEEP = 200_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 _VISIBLE = re.compile("[!-~]*").fullmatch
+_LATIN = re.compile("[\x00-\x7f\xa1-\xff]*").fullmatch
 _CONTROL = regex.compile("[\x1c-\x1f]")
 # Fixed value: white space by Unicode.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -187,32 +192,40 @@ class WordTokenizer:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._added = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._split = regex.compile(pattern.replace("\\s", _WS).replace("[" + _WS + "]", "[" + _WS + "]"))
+        # beyond Latin-1, composed forms, lower case and letters are those of the library's own tables
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self._normalize, self._pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self._split = regex.compile(pattern.replace("\\s", _WS))
         self._symbols = byte_symbols()
         self._words = _Memo(self._word)
         self._chunks = _Memo(self._chunk)
 
-    def _word(self, word: str) -> tuple[bytes, int, str]:
-        # printable ASCII stands for itself
-        symbols = word if _VISIBLE(word) else "".join(map(self._symbols.__getitem__, word.encode("utf-8")))
+    def _word(self, symbols: str) -> tuple[bytes, bytes]:
         ids = self.bpe.encode_word(symbols)
         raw = array("I", ids)
         if sys.byteorder == "big":
             raw.byteswap()
-        return raw.tobytes(), len(ids), " ".join(map(self.bpe.outer.__getitem__, ids))
-
-    def _chunk(self, chunk: str) -> tuple[bytes, int, str]:
-        """A stretch without white space, which no word crosses."""
-        if not chunk.isascii():
-            # the capital sigma has one lower form here, wherever it stands
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        low = chunk.lower()
-        if low.isascii() and low.isalpha():
-            return self._words[low]
-        found = [self._words[w] for w in self._split.findall(low)]
+        return raw.tobytes(), " ".join(map(self.bpe.outer.__getitem__, ids)).encode("utf-8")
+
+    def _as_symbols(self, word: str) -> str:
+        return "".join(map(self._symbols.__getitem__, word.encode("utf-8")))
+
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """Ids and decoded words of a stretch without white space, which no word crosses."""
+        if _LATIN(chunk):
+            # composed already, and of the same lower case and classes by every table
+            low = chunk.lower()
+            if low.isalpha():
+                return self._words[low if low.isascii() else self._as_symbols(low)]
+            words = [w if _VISIBLE(w) else self._as_symbols(w) for w in self._split.findall(low)]
+        else:
+            words = [w for w, _ in self._pre_tokenize(self._normalize(chunk))]
+        found = [self._words[w] for w in words]
         if len(found) == 1:
             return found[0]
-        return b"".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])
+        return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
 
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
@@ -224,19 +237,22 @@ class WordTokenizer:
         if at < len(text):
             yield text[at:], False
 
-    def pieces(self, text: str) -> Iterator[list[tuple[bytes, int, str]]]:
-        """Lists of (ids as bytes, how many, decoded) in text order; a list has some thousand words at most."""
+    def pieces(self, text: str) -> Iterator[tuple[bytes, bytes]]:
+        """Ids and decoded words in text order, some thousand words at a time."""
         for part, special in self._segments(text):
             if special:
-                yield [(np.array([self.added[part]], dtype="<u4").tobytes(), 1, part)]
+                yield np.array([self.added[part]], dtype="<u4").tobytes(), part.encode("utf-8")
                 continue
             # str.split() also cuts at four control characters that are no white space here
             chunks = part.split() if not _CONTROL.search(part) else regex.split(f"[{_WS}]+", part)
             for i in range(0, len(chunks), 8192):
-                yield [x for x in map(self._chunks.__getitem__, chunks[i : i + 8192]) if x[1]]
+                found = list(map(self._chunks.__getitem__, chunks[i : i + 8192]))
+                ids = b"".join([x[0] for x in found])
+                if ids:
+                    yield ids, b" ".join([x[1] for x in found if x[0]])
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(x[0] for piece in self.pieces(text or "") for x in piece), dtype="<u4")
+        return np.frombuffer(b"".join(x[0] for x in self.pieces(text or "")), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         names = {i: t for t, i in self.added.items()}
@@ -250,15 +266,11 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def digest(t: WordTokenizer, text: str | None) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the ids (little-endian, 32 bits), SHA-256 of the decoded text."""
-    n, ids, said, first = 0, hashlib.sha256(), hashlib.sha256(), True
-    for piece in t.pieces(text or ""):
-        if not piece:
-            continue
-        raw, counts, names = zip(*piece, strict=True)
-        ids.update(b"".join(raw))
-        n += sum(counts)
-        said.update((("" if first else " ") + " ".join(names)).encode("utf-8"))
-        first = False
+    n, ids, said = 0, hashlib.sha256(), hashlib.sha256()
+    for raw, names in t.pieces(text or ""):
+        ids.update(raw)
+        said.update(b" " + names if n else names)
+        n += len(raw) >> 2
     return n, ids.hexdigest(), said.hexdigest()
 
 
