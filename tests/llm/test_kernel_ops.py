@@ -6,7 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weirflow.llm import edit_counts, jaccard, mixing, substring, words
@@ -371,7 +374,7 @@ def test_trees_follow_edits(counter):
         tree = edit_counts.TokenTree(text, counter)
         for _ in range(25):
             tree.edit(r.randrange(-2, len(tree.text) + 3), r.choice([0, 1, 4, 60]), r.choice(["", " ", "'ll", "  x", "\n", "<email>", "many words in a row " * 12]))
-            assert tree.total == len(counter.encoding.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
+            assert tree.total == len(counter.encoding.encode_ordinary(tree.text)) and tree._root.chars == len(tree.text)
 
 
 def test_small_edits_encode_little_again(counter):
@@ -380,6 +383,42 @@ def test_small_edits_encode_little_again(counter):
     assert tree.reencoded < 12
 
 
+def plain(counter, text, edits):
+    for start, length, put in edits:
+        start = min(max(start, 0), len(text))
+        text = text[:start] + put + text[start + max(length, 0) :]
+    return text, sum(counter.split(text)[1])
+
+
+def depth(node):
+    return 0 if node.left is None else 1 + max(depth(node.left), depth(node.right))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab1 \n'st.é", max_size=200), st.lists(st.tuples(st.integers(-3, 220), st.integers(-1, 60), st.text("ab1 \n's.é", max_size=30)), max_size=25))
+def test_edits_against_encoding_anew(text, edits):
+    how = edit_counts.counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    before = edit_counts.LEAF
+    try:
+        edit_counts.LEAF = 2
+        tree = edit_counts.TokenTree(text, how)
+        for e in edits:
+            tree.edit(*e)
+        assert (tree.text, tree.total) == plain(how, text, edits)
+    finally:
+        edit_counts.LEAF = before
+
+
+def test_edits_of_a_long_text_read_what_is_near(counter):
+    text = "some words and 12 more, " * 42_000  # a million characters
+    tree = edit_counts.TokenTree(text, counter)
+    edits = [(k, 2, "xy z") for k in range(len(text) - 7, 0, -700)] + [(500_000, 0, "grow ")] * 3000 + [(10, 400_000, "")] + [(3 * k, 1, "") for k in range(500)]
+    for e in edits:
+        tree.edit(*e)
+    assert (tree.text, tree.total) == plain(counter, text, edits)
+    assert tree.read < 1000 * len(edits) + 2 * len(text) and depth(tree._root) < 40
+
+
 def test_counts_of_documents(spark, counter):
     P = pytest.importorskip("public_tokenizers")
     rows = [(1, "mail a.b@c.org now, or 10.0.0.1!", "s"), (2, None, "s"), (3, "", "s"), (None, "plain", "s"), (1, "mail a.b@c.org now, or 10.0.0.1!", "s")]

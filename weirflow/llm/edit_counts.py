@@ -1,17 +1,22 @@
 """Edit-aware token counts.
 
 A document keeps a segment tree over its pre-tokens: leaves hold short runs of pre-tokens (their
-lengths and token counts), inner nodes the sums of characters and tokens below them.  An edit finds
-its leaves by descending on characters, re-splits and re-encodes only from the first pre-token that
-can see the edit to the first old boundary behind it, and updates the sums on the way up.
+text, lengths and token counts), inner nodes the sums of characters and tokens below them.  An edit
+finds its leaf by descending on characters, re-splits and re-encodes only from the first pre-token
+that can see the edit to the first old boundary behind it, and updates the sums on the way up.  Only
+the text around an edit is read.  A leaf that grows too long becomes several, and a subtree that
+gets lopsided is built anew, so that an edit costs the logarithm of the text's length and what it touches.
 
 Splitting looks ahead two characters at most past a pre-token and never back, so pre-tokens that
 end two characters before an edit stand, and so does everything from an old boundary that the new
 split meets again.
 
 Defined results: a null text counts as empty; edits apply one after the other, each to the text as
-it then is, with places cut to the text's ends; a null list of edits is empty.  Repeated rows are
-counted each by itself.  Columns other than doc_id, text and edits are ignored.
+it then is, with places cut to the text's ends; edits at the same place are no ties, they go in the
+order given; a null list of edits is empty, null edits are left out, of an edit's nulls a place is 0,
+a length 0 and what is put the empty string.  Texts of any length are read whole.  Repeated rows are
+counted each by itself; an empty table gives no rows.  Columns other than doc_id, text and edits are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pre-tokens of a leaf, when built; a leaf that grows to four times as many makes the tree anew.
+#: Pre-tokens of a leaf, when built; a leaf that grows to four times as many is cut up.
 LEAF = 32
 #: Pieces whose counts a worker keeps.
 KEEP = 500_000
@@ -70,94 +75,189 @@ def counter(path: str, pattern: str) -> Counter:
     return Counter(path, pattern)
 
 
+class _Node:
+    """A leaf (text, sizes, counts) or two children; the sums below it."""
+
+    __slots__ = ("chars", "counts", "leaves", "left", "right", "sizes", "text", "tokens")
+
+    def __init__(self, text: str = "", sizes: list[int] | None = None, counts: list[int] | None = None):
+        self.left = self.right = None
+        self.leaves = 1
+        self.fill(text, sizes or [], counts or [])
+
+    def fill(self, text: str, sizes: list[int], counts: list[int]) -> None:
+        self.text, self.sizes, self.counts = text, sizes, counts
+        self.chars, self.tokens = len(text), sum(counts)
+
+    def join(self, left: _Node, right: _Node) -> _Node:
+        self.left, self.right, self.text, self.sizes, self.counts = left, right, "", [], []
+        self.add()
+        return self
+
+    def add(self) -> None:
+        a, b = self.left, self.right
+        self.chars, self.tokens, self.leaves = a.chars + b.chars, a.tokens + b.tokens, a.leaves + b.leaves
+
+
+def _cut(text: str, sizes: list[int], counts: list[int]) -> list[_Node]:
+    """Leaves of ``LEAF`` pre-tokens."""
+    out, at = [], 0
+    for i in range(0, len(sizes), LEAF):
+        n = sum(sizes[i : i + LEAF])
+        out.append(_Node(text[at : at + n], sizes[i : i + LEAF], counts[i : i + LEAF]))
+        at += n
+    return out or [_Node()]
+
+
+def _balanced(leaves: list[_Node]) -> _Node:
+    while len(leaves) > 1:
+        pairs = [_Node().join(leaves[i], leaves[i + 1]) for i in range(0, len(leaves) - 1, 2)]
+        leaves = pairs + leaves[len(pairs) * 2 :]
+    return leaves[0]
+
+
+def _leaves(node: _Node) -> list[_Node]:
+    out, stack = [], [node]
+    while stack:
+        node = stack.pop()
+        if node.left is None:
+            out.append(node)
+        else:
+            stack += (node.right, node.left)
+    return out
+
+
 class TokenTree:
     """The pre-tokens of one text under edits."""
 
     def __init__(self, text: str, how: Counter):
-        self.how, self.reencoded = how, 0
-        self.text = text
-        self._build(*how.split(text))
-
-    def _build(self, sizes: list[int], counts: list[int]) -> None:
-        self.leaves = [(sizes[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(sizes), LEAF)] or [([], [])]
-        n = self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * n), [0] * (2 * n)
-        for k, (s, c) in enumerate(self.leaves):
-            self.chars[n + k], self.tokens[n + k] = sum(s), sum(c)
-        for k in range(n - 1, 0, -1):
-            self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
+        self.how, self.reencoded, self.read = how, 0, 0
+        sizes, counts = how.split(text)
+        self._first, self._total = (text, sizes, counts), sum(counts)
+        self._root: _Node | None = None  # made with the first edit
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self._root.tokens if self._root else self._total
+
+    @property
+    def text(self) -> str:
+        return "".join(x.text for x in _leaves(self._root)) if self._root else self._first[0]
 
     def _leaf_at(self, at: int) -> tuple[int, int]:
-        """The leaf that holds character ``at`` (the last leaf with any, past the end), and where it begins."""
-        k, begin = 1, 0
-        at = min(at, max(0, self.chars[1] - 1))
-        while k < self.width:
-            k *= 2
-            if at - begin >= self.chars[k]:
-                begin += self.chars[k]
-                k += 1
-        return k - self.width, begin
-
-    def _update(self, leaf: int) -> None:
-        k = leaf + self.width
-        self.chars[k], self.tokens[k] = sum(self.leaves[leaf][0]), sum(self.leaves[leaf][1])
-        while k > 1:
-            k //= 2
-            self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
+        """Number and beginning of the leaf that holds character ``at`` (the last one with any, past the end)."""
+        node, begin, number = self._root, 0, 0
+        at = min(at, max(0, node.chars - 1))
+        while node.left is not None:
+            if at - begin >= node.left.chars and node.right.chars:
+                begin, number, node = begin + node.left.chars, number + node.left.leaves, node.right
+            else:
+                node = node.left
+        return number, begin
+
+    def _path(self, number: int) -> list[_Node]:
+        node = self._root
+        path = [node]
+        while node.left is not None:
+            if number < node.left.leaves:
+                node = node.left
+            else:
+                number, node = number - node.left.leaves, node.right
+            path.append(node)
+        return path
+
+    def _put(self, number: int, text: str, sizes: list[int], counts: list[int]) -> None:
+        """Gives a leaf other contents.  Only if it is cut up do numbers of leaves change."""
+        *above, leaf = self._path(number)
+        grown = len(sizes) > 4 * LEAF
+        if grown:
+            part = _balanced(_cut(text, sizes, counts))
+            leaf.join(part.left, part.right)
+        else:
+            leaf.fill(text, sizes, counts)
+        lopsided = None
+        for node in reversed(above):
+            node.add()
+            if grown and max(node.left.leaves, node.right.leaves) > 0.75 * node.leaves + 2:
+                lopsided = node
+        if lopsided is not None:
+            whole = _balanced([x for x in _leaves(lopsided) if x.sizes] or [_Node()])
+            if whole.left is None:
+                lopsided.left = lopsided.right = None
+                lopsided.leaves = 1
+                lopsided.fill(whole.text, whole.sizes, whole.counts)
+            else:
+                lopsided.join(whole.left, whole.right)
+            for node in reversed(above[: above.index(lopsided)]):
+                node.add()
 
     def edit(self, start: int, length: int, put: str) -> None:
         """Replaces ``length`` characters from ``start`` by ``put``."""
-        old = self.text
-        start = min(max(start, 0), len(old))
-        stop = min(start + max(length, 0), len(old))
+        if self._root is None:
+            self._root = _balanced(_cut(*self._first))
+            self._first = None
+        size = self._root.chars
+        start = min(max(start, 0), size)
+        stop = min(start + max(length, 0), size)
         shift = len(put) - (stop - start)
-        new = old[:start] + put + old[stop:]
         # the first pre-token whose end, and what its split looks at, comes up to the edit
-        leaf, at = self._leaf_at(max(0, start - LOOK))
-        first, inside, from_ = leaf, 0, at
-        sizes = self.leaves[leaf][0]
-        while inside < len(sizes) and from_ + sizes[inside] + LOOK <= start:
-            from_ += sizes[inside]
+        first, begin = self._leaf_at(max(0, start - LOOK))
+        leaf = self._path(first)[-1]
+        inside, from_ = 0, begin
+        while inside < len(leaf.sizes) and from_ + leaf.sizes[inside] + LOOK <= start:
+            from_ += leaf.sizes[inside]
             inside += 1
-        # split the new text from there until it meets an old boundary at or behind the edit
-        l, i, boundary = leaf, inside, from_
-        got_sizes, got_counts, here = [], [], from_
-        for m in self.how.pattern.finditer(new, from_):
-            got_sizes.append(m.end() - m.start())
-            got_counts.append(self.how.count(m[0]))
-            here = m.end()
-            while l < len(self.leaves) and boundary + shift < here:
-                if i < len(self.leaves[l][0]):
-                    boundary += self.leaves[l][0][i]
-                    i += 1
-                else:
-                    l, i = l + 1, 0
-            if boundary >= stop and boundary + shift == here:
-                break
-        else:
-            l, i = len(self.leaves), 0
-        self.text = new
+        head = leaf.text[: from_ - begin], leaf.sizes[:inside], leaf.counts[:inside]
+        # split the new text from there, a few leaves of it at a time, until it meets an old boundary at or behind the edit
+        window, boundary, last, l, i = [], from_, first - 1, first, inside
+        have = 0  # characters of the old text in the window
+        got_sizes, got_counts, at, met = [], [], 0, False
+        wanted, texts = 1, []
+        new = ""
+        while not met:
+            while last + 1 < self._root.leaves and (wanted > 0 or from_ + have < stop + LOOK):
+                last += 1
+                wanted -= 1
+                x = self._path(last)[-1]
+                texts.append(x)
+                window.append(x.text if last > first else x.text[from_ - begin :])
+                have += len(window[-1])
+            wanted = len(texts)
+            old = "".join(window)
+            new = old[: start - from_] + put + old[stop - from_ :]
+            self.read += len(new) - at
+            end = from_ + have == size
+            for m in self.how.pattern.finditer(new, at):
+                if not end and m.end() + LOOK > len(new):
+                    break  # what lies behind could change it
+                got_sizes.append(m.end() - m.start())
+                got_counts.append(self.how.count(m[0]))
+                at = m.end()
+                here = from_ + at - shift  # in the old text
+                while boundary < max(here, stop) and l <= last:
+                    sizes = texts[l - first].sizes
+                    if i < len(sizes):
+                        boundary += sizes[i]
+                        i += 1
+                    else:
+                        l, i = l + 1, 0
+                if here >= stop and boundary == here:
+                    met = True
+                    break
+            else:
+                if end:
+                    l, i, met = self._root.leaves, 0, True
         self.reencoded += len(got_sizes)
+        said = new[: sum(got_sizes)]
         # what stays: the head of the first leaf and the tail of leaf l from its pre-token i
-        tail = (self.leaves[l][0][i:], self.leaves[l][1][i:]) if l < len(self.leaves) else ([], [])
-        head = (self.leaves[first][0][:inside], self.leaves[first][1][:inside])
-        if l == first:
-            self.leaves[first] = (head[0] + got_sizes + tail[0], head[1] + got_counts + tail[1])
-        else:
-            self.leaves[first] = (head[0] + got_sizes, head[1] + got_counts)
-            for k in range(first + 1, min(l, len(self.leaves))):
-                self.leaves[k] = ([], [])
-                self._update(k)
-            if l < len(self.leaves):
-                self.leaves[l] = tail
-                self._update(l)
-        self._update(first)
-        if len(self.leaves[first][0]) > 4 * LEAF:
-            self._build([s for x, _ in self.leaves for s in x], [c for _, x in self.leaves for c in x])
+        tail = ("", [], [])
+        if l <= last:
+            x = texts[l - first]
+            tail = x.text[sum(x.sizes[:i]) :], x.sizes[i:], x.counts[i:]
+        for k in range(min(l, last), first, -1):
+            self._put(k, *(tail if k == l else ("", [], [])))
+        parts = (head[0] + said, head[1] + got_sizes, head[2] + got_counts)
+        self._put(first, *(tuple(a + b for a, b in zip(parts, tail, strict=True)) if l == first else parts))
 
 
 #: What the default edits replace. Repeats are bounded, so that time is linear in the text's length.
@@ -192,7 +292,7 @@ def count_edited(documents: DataFrame, path: str, pattern: str, edits: str | Cal
                 out = np.zeros((part.num_rows, 4), dtype=np.int64)
                 for k, text in enumerate(part.column("text").to_pylist()):
                     text = text or ""
-                    todo = [(e["start"], e["length"], e["put"] or "") for e in given[k] or [] if e] if column else edits(text)
+                    todo = [(e["start"] or 0, e["length"] or 0, e["put"] or "") for e in given[k] or [] if e] if column else edits(text)
                     tree = TokenTree(text, how)
                     out[k, 0] = tree.total
                     for e in todo:
