@@ -196,6 +196,19 @@ def test_mixed_rows(spark):
     assert got == want and mixing.mixed(d).columns == d.columns
 
 
+def test_mixed_takes_rows_without_id_and_repeated_rows_as_planned(spark):
+    rows = [(None if i % 3 else i % 4, " ".join(["w"] * (3 + i % 50)) + f" {i // 2}", "abc"[i % 3]) for i in range(300)] + [(None, None, "a"), (None, "w " * 150_000, "b")]
+    d = docs(spark, rows).withColumnsRenamed({"h": "_copies", "c1": "_copy", "at": "row", "lang": "copies"})
+    want = Counter()
+    for r in mixing.mix(d).collect():
+        want[r.source] += r.taken
+    got = Counter()
+    for r in mixing.mixed(d).collect():
+        got[r.source] += len((r.text or "").split())
+    assert got == want and mixing.mixed(d).columns == d.columns
+    assert mixing.mixed(docs(spark, [])).count() == 0
+
+
 # -- 3
 
 

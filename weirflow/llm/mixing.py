@@ -16,8 +16,10 @@ documents of one length are ranked within buckets of their hash (``BUCKETS`` of
 that a source or a length with a third of all rows is spread over many tasks.
 
 Defined results: a null text has no words and is taken 0 words; a null source is a source
-of its own, the last; ids may be null or repeat (each row counts by itself); an empty table
-gives no rows.  Columns other than doc_id, text and source are ignored.
+of its own, the last; ids may be null or repeat (each row counts by itself); rows with the same
+hash, which have the same id and text, are taken in any order, as they are alike; texts of any
+length are counted whole; an empty table gives no rows.  Columns other than doc_id, text and source
+are ignored, and may have any names.
 """
 
 from __future__ import annotations
@@ -37,9 +39,15 @@ SEED, BUCKETS, MOST = 17, 1024, 3
 RESERVE = 1 << 14
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size: the words of each text."""
-    return documents.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+def _hash(seed: int) -> Column:
+    """What decides which documents are taken: a hash of id and text."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def sizes(documents: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size (the words of each text), _h (its hash)."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return documents.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _hash(seed).alias("_h"))
 
 
 def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, reserve: int = RESERVE) -> np.ndarray:
@@ -130,9 +138,12 @@ def _same(a: Column, b: Column) -> Column:
 
 def mix(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its source's), copies, taken (words)."""
-    d = cut(sizes(documents))
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    d = d.withColumn("_h", hashed).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(buckets)).cast("int"))
+    return _planned(documents, weights, most, seed, buckets).drop("_h")
+
+
+def _planned(documents: DataFrame, weights: Sequence[float], most: float, seed: int, buckets: int) -> DataFrame:
+    d = cut(sizes(documents, seed))
+    d = d.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(buckets)).cast("int"))
     counted = cut(d.groupBy("source", "size", "_b").agg(F.count(F.lit(1)).alias("n")))
     lengths = counted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goal = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
@@ -157,14 +168,18 @@ def mix(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
     rank = F.row_number().over(Window.partitionBy("source", "size", "_b").orderBy("_h", F.col("doc_id").asc_nulls_last()))
     chosen = F.when(F.col("extra") >= F.col("_before") + F.col("n"), True).when(F.col("extra") <= F.col("_before"), False).otherwise(F.col("_before") + rank <= F.col("extra"))
     copies = (F.col("times") + F.when(chosen, 1).otherwise(0)).cast("int")
-    return x.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", copies.alias("copies"), (F.col("size") * copies).cast("bigint").alias("taken"))
+    return x.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", copies.alias("copies"), (F.col("size") * copies).cast("bigint").alias("taken"), "_h")
 
 
 def mixed(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = SEED) -> DataFrame:
     """``documents`` with each row as often as the mix takes it.
 
-    Rows that repeat an id are all taken as often as the one taken most; rows with a null id once.
+    Of rows with the same id and text (ids may be null), one stands for all as often as they are taken together.
     """
-    copies = mix(documents, weights, most, seed).filter("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    x = documents.join(cut(copies), "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).filter("_copies > 0")
-    return x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(documents.columns)
+    plan = _planned(documents, weights, most, seed, BUCKETS).groupBy("doc_id", "_h").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    p = cut(plan.filter("copies > 0")).alias("p")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), _hash(seed).alias("h")).alias("d")
+    x = rows.join(p, (F.col("d.h") == F.col("p._h")) & _same(F.col("d.row.doc_id"), F.col("p.doc_id"))).select("row", "h", F.col("row.doc_id").alias("id"), "copies", "n")
+    if not p.filter("n > 1").isEmpty():
+        x = x.filter("n = 1").unionByName(x.filter("n > 1").dropDuplicates(["h", "id"]))
+    return x.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
