@@ -1,5 +1,6 @@
 import socket
 import threading
+import time
 
 import pyarrow as pa
 import pytest
@@ -161,6 +162,52 @@ def test_streaming_wire(spark, tmp_path):
         q.stop()
 
 
+def test_streaming_wire_restarts_behind_what_it_gave(tmp_path):
+    where = serve(lambda k: [(i, pa.record_batch({"v": [i]})) for i in range(5)])
+    options = {"scheme": "tcp", "address": where, "spool": str(tmp_path / "s"), "batches_per_trigger": "3"}
+    first = wires._SpoolReader(options)
+    for _ in range(200):
+        if first.latestOffset()["batch"] == 5:
+            break
+        time.sleep(0.05)
+    again = wires._SpoolReader(options | {"address": "127.0.0.1:1", "timeout": "1"})
+    assert again._given == 5 and [b.column("v").to_pylist() for p in again.partitions({"batch": 2}, {"batch": 5}) for b in again.read(p)] == [[2], [3], [4]]
+    with pytest.raises(TransportError, match="broke after 5 batches"):
+        for _ in range(200):
+            again.latestOffset()
+            time.sleep(0.05)
+
+
+def test_tasks_send_over_wires_of_their_own(spark):
+    s = socket.create_server(("127.0.0.1", 0), backlog=16)
+    got, lock = [], threading.Lock()
+
+    def take(peer):
+        for b, seq, meta in wires.read_wire(peer):
+            with lock:
+                got.append((meta["stream"], seq, b.to_pylist()))
+
+    def serve_all():
+        peers = [threading.Thread(target=take, args=(s.accept()[0],)) for _ in range(3)]
+        [p.start() for p in peers]
+        [p.join() for p in peers]
+
+    t = threading.Thread(target=serve_all, daemon=True)
+    t.start()
+    spark.dataSource.register(wires.WireSource)
+    spark.range(0, 3000, 1, 3).selectExpr("id", "cast(id as string) s").write.format("arrow_wire").option("scheme", "tcp").option("address", f"127.0.0.1:{s.getsockname()[1]}").mode("append").save()
+    t.join(30)
+    s.close()
+    assert sorted(r["id"] for *_, rows in got for r in rows) == list(range(3000)) and {m for m, *_ in got} == {"0", "1", "2"}
+
+
+def test_local_batches(spark):
+    df = spark.range(0, 1000, 1, 4).selectExpr("id", "id div 300 as b", "cast(null as string) n")
+    assert [b.num_rows for b in wires.local_batches(df, rows=400)] == [400, 400, 200]
+    assert [(b.num_rows, set(b.column("b").to_pylist())) for b in wires.local_batches(df, "b")] == [(300, {0}), (300, {1}), (300, {2}), (100, {3})]
+    assert list(wires.local_batches(df.limit(0))) == []
+
+
 # -- endpoints and the surface
 
 
@@ -171,29 +218,29 @@ def test_endpoints():
 
 
 @pytest.mark.parametrize("call,error,text", [
-    (lambda s: api.read(s, "gopher://x"), TransportError, "unknown scheme"),
-    (lambda s: api.read(s, "a.csv", protocol="zzz"), ProtocolError, "unknown protocol"),
-    (lambda s: api.read(s, "a.csv", format="zzz"), ValueError, "unknown format"),
-    (lambda s: api.read(s, "a.bin"), FormatError, "cannot infer a format"),
-    (lambda s: api.read(s, "a.csv", parallel=2), TransportError, "no parallel form"),
-    (lambda s: api.read(s, "a.csv", accept=True), TransportError, "no accepting form"),
-    (lambda s: api.read(s, "stdio:", accept=True), TransportError, "no accepting form"),
+    (lambda s: api.read(s, "gopher://x"), TransportError, "none of the schemes"),
+    (lambda s: api.read(s, "a.csv", protocol="zzz"), ProtocolError, "none of the protocols"),
+    (lambda s: api.read(s, "a.csv", format="zzz"), ValueError, "none of the formats"),
+    (lambda s: api.read(s, "a.bin"), FormatError, "tells no format"),
+    (lambda s: api.read(s, "a.csv", parallel=2), TransportError, "parallel is for wires"),
+    (lambda s: api.read(s, "a.csv", accept=True), TransportError, "accept is for wires"),
+    (lambda s: api.read(s, "stdio:", accept=True), TransportError, "accept is for wires"),
     (lambda s: api.read(s, "a.arrow", mmap=True, out_of_core=True), ValueError, "out_of_core"),
-    (lambda s: api.read(s, "a.parquet", delimiter=";"), ValueError, "csv format only"),
-    (lambda s: api.read(s, "a.parquet", batch_size=5), ValueError, "csv and json formats only"),
-    (lambda s: api.read(s, "a.csv", delimiter=";;"), ValueError, "single ASCII character"),
-    (lambda s: api.read(s, "tcp://h:1", format="csv"), ValueError, "not wire endpoints"),
-    (lambda s: api.read(s, "quic://h:1", tls_ca="x"), TransportError, "not available in this build"),
+    (lambda s: api.read(s, "a.parquet", delimiter=";"), ValueError, "delimiter shapes csv files"),
+    (lambda s: api.read(s, "a.parquet", batch_size=5), ValueError, "batch_size shapes csv and json"),
+    (lambda s: api.read(s, "a.csv", delimiter=";;"), ValueError, "not one ASCII character"),
+    (lambda s: api.read(s, "tcp://h:1", format="csv"), ValueError, "no file's shape"),
+    (lambda s: api.read(s, "quic://h:1", tls_ca="x"), TransportError, "not served here"),
     (lambda s: api.read(s, "https://h:1"), TransportError, "requires tls_ca"),
     (lambda s: api.read(s, "wss://h:1", accept=True), TransportError, "requires tls_cert and tls_key"),
-    (lambda s: api.read(s, "tcp://h:1", tls_ca="x"), TransportError, "apply to the quic, wt, wss, and https"),
-    (lambda s: api.read(s, "x.frames", protocol="frames", format="csv"), ValueError, "file-format reads"),
+    (lambda s: api.read(s, "tcp://h:1", tls_ca="x"), TransportError, "no use for tls_ca"),
+    (lambda s: api.read(s, "x.frames", protocol="frames", format="csv"), ValueError, "read as frames"),
     (lambda s: api.read(s, "stdio:", format="parquet"), FormatError, "csv format"),
-    (lambda s: api.write("a.csv", compression="zstd"), ValueError, "compression applies"),
-    (lambda s: api.write("a.parquet", compression="lz9"), ValueError, "unknown compression"),
+    (lambda s: api.write("a.csv", compression="zstd"), ValueError, "compression shapes ipc and parquet"),
+    (lambda s: api.write("a.parquet", compression="lz9"), ValueError, "compression is one of"),
     (lambda s: api.write("a.arrow", compression="snappy"), FormatError, "snappy"),
     (lambda s: api.write("stdio:", format="parquet"), FormatError, "csv and json"),
-    (lambda s: api.write("x.frames", protocol="frames", format="csv"), ValueError, "file-format writes"),
+    (lambda s: api.write("x.frames", protocol="frames", format="csv"), ValueError, "written as frames"),
 ])
 def test_arguments_that_do_not_apply(spark, call, error, text):
     with pytest.raises(error, match=text):

@@ -115,14 +115,14 @@ def read(
             raise FormatError("text on stdio is read in the csv format only")
         return Reader(lambda _: _stdin(spark, format, delimiter, header))
     if out_of_core and mmap:
-        raise ValueError("out_of_core reads through the buffered reader, so it cannot combine with mmap=True")
+        raise ValueError("a file is either mapped (mmap) or read by and by (out_of_core)")
     path = local(e.address)
     if os.path.isdir(path):
         fmt = U.FORMAT_NAMES.get(format) if format else None
         if format and fmt is None:
-            raise ValueError(f"unknown format '{format}'")
+            raise ValueError(f"'{format}' is none of the formats {', '.join(U.FORMAT_NAMES)}")
         if fmt == "json":
-            raise FormatError("json has no chunked directory reader")
+            raise FormatError("directories of chunks hold arrow, parquet or csv files, no json")
         base, fmt = chunks.infer_base(path, fmt, base)
         U.check_format_arguments(fmt, delimiter, header, batch_size)
         text = {"delimiter": delimiter or ",", "header": True if header is None else header} if fmt == "csv" else {}
@@ -350,7 +350,7 @@ def write(
     U.check_tls(e, accept, tls_cert, tls_key, tls_ca)
     U.check_place(e, accept=accept, parallel=parallel, protocol=p, format_arguments=any(x is not None for x in (format, delimiter, header)), target=True)
     if compression not in (None, "zstd", "snappy", "none"):
-        raise ValueError(f"unknown compression '{compression}'")
+        raise ValueError(f"compression is one of {', '.join(U.COMPRESSIONS)}, not '{compression}'")
     if e.wire or p == "frames":
         return Writer(e, None, p, compression, delimiter, header, parallel, accept, (tls_cert, tls_key, tls_ca))
     if e.scheme == "stdio":

@@ -11,10 +11,11 @@ import os
 import socket
 import threading
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..errors import TransportError
@@ -175,8 +176,17 @@ class _SpoolReader(DataSourceStreamReader):
         os.makedirs(self.spool, exist_ok=True)
         self.per_trigger = int(options.get("batches_per_trigger", 8))
         self._next = 1 + max((int(f.split(".")[0]) for f in os.listdir(self.spool) if f.endswith(".arrow")), default=-1)
-        self._given = 0
+        # how many batches were offered before a restart: offsets never go back
+        self._mark = f"{self.spool}/.given"
+        self._given = int(open(self._mark).read()) if os.path.exists(self._mark) else 0
         self._thread: threading.Thread | None = None
+        self._broken: BaseException | None = None
+
+    def _run(self) -> None:
+        try:
+            self._pump()
+        except BaseException as x:  # told to the query by latestOffset
+            self._broken = x
 
     def _pump(self) -> None:
         o = self.options
@@ -197,13 +207,22 @@ class _SpoolReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         if self._thread is None:
-            self._thread = threading.Thread(target=self._pump, daemon=True)
+            self._thread = threading.Thread(target=self._run, daemon=True)
             self._thread.start()
-        self._given = min(self._next, self._given + self.per_trigger)
+        if self._broken is not None and self._given >= self._next:
+            raise TransportError(f"the wire broke after {self._next} batches: {self._broken}") from self._broken
+        self._give(min(self._next, self._given + self.per_trigger))
         return {"batch": self._given}
 
+    def _give(self, upto: int) -> None:
+        if upto > self._given:
+            self._given = upto
+            with open(f"{self._mark}.tmp", "w") as f:
+                f.write(str(upto))
+            os.replace(f"{self._mark}.tmp", self._mark)
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self._given = max(self._given, end["batch"])
+        self._give(end["batch"])
         return [_Stream(i) for i in range(start["batch"], end["batch"])]
 
     def read(self, partition: _Stream) -> Iterator[pa.RecordBatch]:
@@ -214,8 +233,52 @@ class _SpoolReader(DataSourceStreamReader):
         """Files stay until the caller removes the spool: another query may start from it."""
 
 
+@dataclass
+class _Sent(WriterCommitMessage):
+    batches: int
+
+
+class _WireTaskWriter(DataSourceArrowWriter):
+    """Each task opens a wire of its own and sends its batches, numbered within the task, so nothing goes through
+    the driver.  A task that is run again sends again, over another wire: a peer takes a wire without a
+    stream's end as void.
+    """
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        o, n, w = self.options, 0, None
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if w is None:
+                w = WireWriter(open_wire(o["scheme"], o["address"], timeout=float(o.get("timeout", 30)), sending=True, tls=(None, None, o.get("tls_ca"))), o.get("compression"))
+            w.write(b, n, {"stream": str(part)})
+            n += 1
+        if w is not None:
+            w.close()
+        return _Sent(n)
+
+
+class _WireStreamWriter(_WireTaskWriter, DataSourceStreamArrowWriter):
+    """The same for each micro-batch of a stream; a replayed one has the same numbers."""
+
+    def commit(self, messages: list, batchId: int) -> None:
+        pass
+
+    def abort(self, messages: list, batchId: int) -> None:
+        pass
+
+
 class WireSource(DataSource):
-    """``arrow_wire``: options scheme (tcp, uds), address, parallel; for streams also role, spool, batches_per_trigger."""
+    """``arrow_wire``: options scheme (tcp, uds), address, parallel; for streams also role, spool, batches_per_trigger.
+
+    Written to, every task connects to the address and sends its rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -230,6 +293,12 @@ class WireSource(DataSource):
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _SpoolReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _WireTaskWriter(self.options)
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _WireStreamWriter(self.options)
+
 
 def with_ids(schema: StructType | pa.Schema, stream: bool) -> StructType:
     s = spark_schema(schema) if isinstance(schema, pa.Schema) else schema
@@ -269,24 +338,59 @@ def send(df: DataFrame, scheme: str, address: str, parallel: int = 1, ordered: b
 
 
 def local_batches(df: DataFrame, batch: str | None = None, rows: int = 65_536) -> Iterator[pa.RecordBatch]:
-    """The rows on the driver as Arrow batches, fetched a partition at a time."""
+    """The rows on the driver as Arrow batches, fetched a partition at a time.
+
+    Tasks pack their rows into Arrow streams, so no row becomes a Python object.  ``batch`` names the
+    column whose values are batches.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    ordered = df.orderBy(batch) if batch else df
     schema = to_arrow_schema(df.schema)
-    held, key = [], None
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in held], schema=schema)
-
-    for r in ordered.toLocalIterator(prefetchPartitions=True):
-        if held and (batch and r[batch] != key or not batch and len(held) >= rows):
-            yield made()
-            held = []
-        key = r[batch] if batch else None
-        held.append(r)
-    if held:
-        yield made()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as w:
+                    w.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b"])
+
+    ordered = df.orderBy(batch) if batch else df
+    held = schema.empty_table()
+
+    def cut(t: pa.Table, end: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.slice(0, end).itercolumns()], schema=schema)
+
+    for r in ordered.mapInArrow(packed, "b binary").toLocalIterator(prefetchPartitions=True):
+        held = pa.concat_tables([held, pa.ipc.open_stream(bytes(r["b"])).read_all().cast(schema)])
+        while held.num_rows:
+            if batch:
+                key = held.column(batch)
+                end = held.num_rows if key[0].as_py() == key[-1].as_py() else _end_of_first(key)
+                if end == held.num_rows:
+                    break  # the batch may go on
+            else:
+                end = rows
+                if held.num_rows < rows:
+                    break
+            yield cut(held, end)
+            held = held.slice(end)
+    while held.num_rows:
+        end = held.num_rows if batch else min(rows, held.num_rows)
+        yield cut(held, end)
+        held = held.slice(end)
+
+
+def _end_of_first(sorted_keys: pa.ChunkedArray) -> int:
+    """How many of the sorted keys equal the first."""
+    first, lo, hi = sorted_keys[0].as_py(), 0, len(sorted_keys)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if sorted_keys[mid].as_py() == first:
+            lo = mid + 1
+        else:
+            hi = mid
+    return lo
 
 
 def foreach_batch_sender(scheme: str, address: str):
