@@ -92,7 +92,7 @@ def test_wire_carries_the_whole_table(spark, tmp_path, monkeypatch):
     spark.range(2350).selectExpr("id event_id", "id / 4 value").write.parquet(f"{sf}/events.parquet")
     sent, write = [], wires.WireWriter.write
     monkeypatch.setattr(wires.WireWriter, "write", lambda self, b, seq=None, meta=None: (sent.append(b.num_rows), write(self, b, seq, meta)) and None)
-    assert plans.QUERIES["wire_tcp_roundtrip"](spark, sf).count() == 1000
+    assert plans.QUERIES["wire_tcp_roundtrip"](spark, sf).count() == 2350
     events = plans.table(spark, sf, "events").select("event_id", "value")
     assert sum(sent) == events.count() == 2350
     assert [tuple(r) for r in plans.events_over_tcp(spark, sf).collect()] == sorted(tuple(r) for r in events.collect())
