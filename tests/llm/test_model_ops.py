@@ -287,6 +287,13 @@ def test_keep_good(spark):
     ids = {r.doc_id for r in kept.collect()}
     good = {i for i, q, _ in labels if q}
     assert len(good - ids) <= 4 and len(ids - good) <= 4
+    # columns named like the one that is added pass through; null and empty texts and an empty table do not fail
+    clash = d.selectExpr("*", "cast(doc_id as string) _STATS")
+    clash = clash.union(spark.createDataFrame([(None,) * len(clash.columns), (None, "", *(None,) * (len(clash.columns) - 2))], clash.schema))
+    again = quality.keep_good(clash, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert again.columns == clash.columns
+    assert {r.doc_id for r in again.filter("_STATS = cast(doc_id as string)").collect()} == ids
+    assert quality.keep_good(d.limit(0), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).count() == 0
 
 
 def test_pool():

@@ -10,7 +10,9 @@ adjacent violators over a fixed number of score bins.  Labelled rows are all use
 Defined results: a null or empty text has zero statistics and is scored like any other; without
 labelled rows, every score is 0.5; with labels of one class only, scores lean to that class.
 Repeated rows are scored each by itself; repeated labels of an id count by their mean; rows with
-a null id are scored but never learnt from.  Columns other than doc_id and text are ignored.
+a null id are scored but never learnt from.  Columns other than doc_id and text are ignored, whatever
+their names.  Texts are read whole, however long, in slices of bounded size or one text each; equal raw
+scores get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import Words, cut, slices, sum_vectors
 
@@ -103,14 +106,23 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _unused(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores more as make it differ from all taken ones."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def featurize(documents: DataFrame) -> DataFrame:
     """doc_id, f: the statistics of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            x = statistics(b.column("text"))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), flat], ["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(statistics(b.column("text")))], ["doc_id", "f"])
 
     return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, f array<double>")
 
@@ -223,13 +235,24 @@ def score(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
 def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, least: float = 0.5) -> DataFrame:
     """The rows of ``documents``, unchanged, whose score is at least ``least``.
 
-    Statistics are computed anew where rows are filtered, so that no text is shuffled.
+    Statistics are computed once and kept beside their rows in a checkpoint, which learning and filtering
+    read; no text is shuffled.
     """
+    held_in = _unused("_stats", documents.columns)
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
-    model = _learn(cut(featurize(documents)), labels, label, fold != held)
+    schema = T.StructType([*documents.schema.fields, T.StructField(held_in, T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= least))
+            yield b.append_column(held_in, _lists(statistics(b.column("text"))))
+
+    rows = cut(documents.mapInArrow(describe, schema))
+    model = _learn(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(held_in).alias("f")), labels, label, fold != held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                good = b.filter(pa.array(model.score(_matrix(b.column(held_in))) >= least))
+                yield good.drop_columns([held_in])
 
-    return documents.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, documents.schema)
