@@ -63,11 +63,17 @@ def test_batches_and_windows(spark, tmp_path):
     path = str(tmp_path / "t.arrow")
     df = A.read_ipc(spark, path, ids="true")
     assert df.groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 2048), (1, 2048)]
-    assert df.rdd.getNumPartitions() == 2
+    # one task packs what is small; shares of a file's batches go to tasks by pack_bytes
+    assert df.rdd.getNumPartitions() == 1
+    shares = A.read_ipc(spark, path, ids="true", pack_bytes=1)
+    assert shares.rdd.getNumPartitions() == 2
+    assert sorted(shares.collect()) == sorted(df.collect())
     assert [r.k for r in A.read_ipc(spark, path, batch=1, window_offset=512, window_rows=2).collect()] == [2560, 2561]
     for bad in ({"batch": 2}, {"batch": 0, "window_offset": 100, "window_rows": 5}, {"batch": 0, "window_offset": 1536, "window_rows": 600}):
         with pytest.raises(Exception, match="out of range|multiple of|reaches past"):
             A.read_ipc(spark, path, **bad).collect()
+    windows = A.read_ipc(spark, path, ids="true", window_bytes=8 * 512).groupBy("batch_id", "window_id").count().collect()
+    assert sorted(map(tuple, windows)) == [(b, w, 512) for b in range(2) for w in range(4)]
     assert A.window_stride(2048, 2048 * 8, 8 * 1000) == 512
     assert A.window_stride(100, 800, 1) == 100
     assert A.window_stride(10_000, 80_000, 80 * 1024) == 10_000 // 512 * 512 or A.window_stride(10_000, 80_000, 80 * 1024) == 10_000
@@ -134,3 +140,57 @@ def test_malformed_file(spark, tmp_path):
     (tmp_path / "bad.arrow").write_bytes(b"ARROW1\0\0garbage")
     with pytest.raises(Exception, match="Arrow|arrow|footer|Invalid"):
         A.read_ipc(spark, str(tmp_path / "bad.arrow")).collect()
+
+
+@pytest.mark.parametrize("pack", [1, 6000, 128 << 20])
+def test_packs_of_many_files(spark, tmp_path, pack):
+    """Whatever the packing, batches keep their numbers, and ``first`` and ``batch`` count over all files."""
+    sizes = [3, 0, 1, 5, 2]
+    k = 0
+    for i, n in enumerate(sizes):
+        with pa.ipc.new_file(str(tmp_path / f"f{i}.arrow"), pa.schema([("k", pa.int64())])) as w:
+            for _ in range(n):
+                w.write_batch(pa.record_batch({"k": pa.array(range(k * 10, k * 10 + 10), pa.int64())}))
+                k += 1
+    rows = A.read_ipc(spark, str(tmp_path), ids="true", pack_bytes=pack).collect()
+    assert sorted((r.k, r.batch_id, r.row_id) for r in rows) == [(x, x // 10, x % 10) for x in range(110)]
+    assert sorted(r.k for r in A.read_ipc(spark, str(tmp_path), pack_bytes=pack).collect()) == list(range(110))
+    for n in (0, 1, 4, 11, 50):
+        assert sorted(r.k for r in A.read_ipc(spark, str(tmp_path), first=n, pack_bytes=pack).collect()) == list(range(min(110, n * 10)))
+    for n in (0, 3, 10):
+        assert sorted(r.k for r in A.read_ipc(spark, str(tmp_path), batch=n, pack_bytes=pack).collect()) == list(range(n * 10, n * 10 + 10))
+    with pytest.raises(Exception, match="out of range"):
+        A.read_ipc(spark, str(tmp_path), batch=11).collect()
+
+
+def test_first_batches_of_a_stream(spark, tmp_path):
+    path = str(tmp_path / "s.arrow")
+    with pa.ipc.new_stream(path, pa.schema([("k", pa.int64())])) as w:
+        for i in range(4):
+            w.write_batch(pa.record_batch({"k": pa.array([i], pa.int64())}))
+    assert sorted(r.k for r in A.read_ipc(spark, path, first=2).collect()) == [0, 1]
+    assert [r.k for r in A.read_ipc(spark, path, batch=2).collect()] == [2]
+
+
+def test_resized():
+    batches = [pa.record_batch({"k": list(range(a, b))}) for a, b in ((0, 3), (3, 3), (3, 11), (11, 12))]
+    out = list(A.resized(iter(batches), 4))
+    assert [b.num_rows for b in out] == [4, 4, 4] and pa.Table.from_batches(out).column("k").to_pylist() == list(range(12))
+    assert [b.num_rows for b in A.resized(iter(batches), 5)] == [5, 5, 2] and not list(A.resized(iter([]), 5))
+
+
+def test_numbered_splits_one_hot_part(spark):
+    from weirflow.operators.batches import numbered
+
+    d = spark.range(1000, numPartitions=4).selectExpr("if(id < 990, 'hot', 'rare') part", "id * 7 % 1000 v")
+    got = sorted((r.row_no, r.part, r.v) for r in numbered(d, "part", ["v"]).collect())
+    assert [x[0] for x in got] == list(range(1000)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+    assert numbered(d.limit(0), "part", ["v"]).count() == 0
+
+
+def test_batch_size_of_text(spark, tmp_path):
+    from weirflow import api
+
+    (tmp_path / "t.csv").write_text("k\n" + "".join(f"{i}\n" for i in range(10)))
+    with api.read(spark, str(tmp_path / "t.csv"), batch_size=4) as r:
+        assert [b.num_rows for b in r] == [4, 4, 2]

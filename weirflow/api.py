@@ -25,8 +25,9 @@ from .types import readable_batch
 class Reader:
     """A source: ``dataframe()`` for Spark, iteration and ``read_all`` for Arrow batches on the driver."""
 
-    def __init__(self, make, registry: frames.Registry | None = None):
+    def __init__(self, make, registry: frames.Registry | None = None, rows: int | None = None):
         self._make, self._registry, self._closed, self._drained = make, registry, False, False
+        self._rows = rows or U.TEXT_BATCH
 
     def _check(self) -> None:
         if self._closed:
@@ -56,7 +57,7 @@ class Reader:
                 yield Message(r["tag"], r["name"], bytes(r["payload"]), r["kind"])
             return
         ids = [c for c in ("chunk_id", "batch_id") if c in df.columns]
-        yield from wires.local_batches(df, ids[0] if ids else None)
+        yield from wires.local_batches(df, ids[0] if ids else None, self._rows)
 
     def read_all(self) -> pa.Table:
         """One table of all batches (message frames are skipped); an empty table when already drained."""
@@ -138,11 +139,11 @@ def read(
     if fmt == "parquet":
         return Reader(lambda _: _narrow(spark.read.parquet(path), columns))
     if fmt == "csv":
-        return Reader(lambda _: _narrow(C.read_csv(spark, path, schema, delimiter or ",", header=True if header is None else header), columns))
+        return Reader(lambda _: _narrow(C.read_csv(spark, path, schema, delimiter or ",", header=True if header is None else header), columns), rows=batch_size)
     if schema is None:
         raise FormatError("reading JSON needs a schema, pass schema=...")
     how = J.read_ndjson if U.json_lines(path) else J.read_json_array
-    return Reader(lambda _: _narrow(how(spark, path, schema, policy), columns))
+    return Reader(lambda _: _narrow(how(spark, path, schema, policy), columns), rows=batch_size)
 
 
 def _narrow(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import FormatError
+from ..shared import checkpointed
 from ..sources.arrow_ipc import check_window
 
 
@@ -25,13 +26,15 @@ def with_batch_ids(df: DataFrame, order: str, rows: int) -> DataFrame:
 def numbered(df: DataFrame, part: str, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """A running number from 0 over all rows in the order of (part, *order).
 
-    Rows are numbered inside each part; the parts' own sizes (one row each) are summed before them, so
-    no task sees more than one part.
+    Rows are dealt to tasks by ranges of (part, *order), so a large part takes many of them; the ranges'
+    sizes, one row a task, are summed and joined back.  Rows that agree in all of these columns share a task.
     """
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order)).cast("bigint") - 1
-    sizes = df.groupBy(part).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return df.withColumn("_k", inside).join(before.select(part, "_before"), part).withColumn(name, F.col("_before") + F.col("_k")).drop("_k", "_before")
+    dealt = checkpointed(df.repartitionByRange(part, *order).sortWithinPartitions(part, *order))
+    at = F.monotonically_increasing_id()  # the task in the upper bits, its row below
+    placed = dealt.withColumn("_task", F.shiftright(at, 33)).withColumn("_row", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = sizes.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_task").select(*dealt.columns, (F.col("_before") + F.col("_row")).alias(name))  # as many rows as tasks
 
 
 def take_batches(df: DataFrame, n: int | None, batch: str = "batch_id") -> DataFrame:
