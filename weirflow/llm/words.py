@@ -9,13 +9,14 @@ odd base) passed through a bijective finaliser.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 
+from ..shared import shared_top
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -184,13 +185,7 @@ def shared_folder(spark, name: str) -> str:
     """A fresh folder for ``name`` under ``spark.checkpoint.dir``, which driver and executors share."""
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        import tempfile
-
-        top = os.path.join(tempfile.gettempdir(), "weirflow-checkpoints")  # only where the setting is absent, as in tests
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df):
@@ -203,12 +198,7 @@ def cut(df):
 
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not top:
-            import tempfile
-
-            top = os.path.join(tempfile.gettempdir(), "weirflow-checkpoints")  # only where the setting is absent, as in tests
-        spark.sparkContext.setCheckpointDir(top)
+        spark.sparkContext.setCheckpointDir(shared_top(spark))
     with files_removed(spark):
         out = df.select("*").checkpoint(True)  # a new plan, which takes the setting up
     del df
