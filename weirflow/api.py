@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from .errors import FlowError, FormatError, ProtocolError, TransportError
 from .functions import csv as C
 from .functions import json as J
 from .limits import DecodeLimits
+from .shared import shared_top
 from .sources import arrow_ipc, chunks, frames
 from .sources.arrow_ipc import local
 from .streaming import wires
@@ -173,13 +175,22 @@ def _accepted(spark: SparkSession, e: U.Endpoint, n: int, order: bool, tls: tupl
     return spark.createDataFrame(pa.Table.from_batches([readable_batch(b) for b, _ in got]))
 
 
+def _shared_copy(spark: SparkSession, source) -> str:
+    """The path of a file below the folder that executors share, with the bytes of ``source``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_top(spark)}/stdin-{uuid.uuid4().hex}.csv")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        while piece := source.read(1 << 20):
+            out.write(piece)
+    finally:
+        out.close()
+    return path.toString()
+
+
 def _stdin(spark: SparkSession, fmt: str | None, delimiter: str | None, header: bool | None) -> DataFrame:
     if fmt == "csv":
-        import tempfile
-
-        with tempfile.NamedTemporaryFile("wb", suffix=".csv", delete=False) as f:
-            f.write(sys.stdin.buffer.read())
-        return C.read_csv(spark, f.name, None, delimiter or ",", header=True if header is None else header)
+        path = _shared_copy(spark, sys.stdin.buffer)
+        return C.read_csv(spark, path, None, delimiter or ",", header=True if header is None else header)
     t = pa.ipc.open_stream(sys.stdin.buffer).read_all()
     return spark.createDataFrame(pa.Table.from_batches([readable_batch(b) for b in t.to_batches()]))
 
